@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from tracelens.llm import bpe
+from tracelens.llm import bpe, fingerprint, jaccard, langid, lines, media, packing, warc
 
-QUERIES = {"op10_bpe": bpe.op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_lines": lines.op1_lines,
+    "op2_media": media.op2_media,
+    "op3_warc": warc.op3_warc,
+    "op4_langid": langid.op4_langid,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
+    "op6_packing": packing.op6_packing,
+    "op7_jaccard": jaccard.op7_jaccard,
+    "op10_bpe": bpe.op10_bpe,
+}
+ORACLE_SQL = {"op1_lines": lines.OP1_SQL}
