@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import bpe, fingerprint, jaccard, langid, lines, media, packing, warc
+from tracelens.llm import bpe, fingerprint, jaccard, langid, lines, lm, media, packing, suffix, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_packing": packing.op6_packing,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_suffix": suffix.op8_suffix,
+    "op9_lm": lm.op9_lm,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {"op1_lines": lines.OP1_SQL}
