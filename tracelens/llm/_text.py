@@ -114,10 +114,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def pack(a: np.ndarray) -> bytes:
     """Bytes of a sorted array by byte planes, so that the shuffle's compression finds the runs."""
-    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
 
 
 def unpack(raw, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    flat = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    flat = np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width)
     return np.ascontiguousarray(flat.T).view(dtype).reshape(-1)
