@@ -35,6 +35,8 @@ from tracelens.llm import _shared, _text
 
 LENGTH = 100
 HALF = LENGTH // 2
+#: Ranges of representatives for each shuffle partition: a range's windows are judged in memory.
+RANGES = 4
 _TOP = np.uint64(2**64 - 1)
 _LAST = (1 << 63) - 1
 
@@ -137,7 +139,7 @@ def repeats(rank: np.ndarray, end: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame) -> DataFrame:
     """Spans to remove (columns id long, text): id, h (hash of the text), starts and ends (int64 bytes), a row per text that has some."""
     spark = docs.sparkSession
-    parts = session.partitions(spark)
+    parts = session.partitions(spark) * RANGES
     shared = _shared.shared_tokens(docs, tokens, "ranks")
     session.release(spark)
     known = shared.where("tokens IS NOT NULL").groupBy("id").agg(F.collect_list("tokens").alias("known"))
