@@ -19,6 +19,7 @@ SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 3
 _VALUES = np.random.default_rng(20240229).integers(1, 2**64 - 1, size=1 << 16, dtype=np.uint64) | np.uint64(1)
 BYTE_VALUES = _VALUES[:256]
+SYMBOL_VALUES = _VALUES[:512]
 _POWERS: dict[str, np.ndarray] = {}
 
 #: ASCII white space of the word rule: space and 9 to 13.
