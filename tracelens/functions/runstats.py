@@ -17,7 +17,7 @@ FLAT = 1e-7
 
 def aggregates(x: str | Column, prefix: str = "") -> list[Column]:
     """The eight figures as aggregate expressions; a group of one has deviation 0."""
-    x = F.col(x) if isinstance(x, str) else x
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
     m2 = F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)
     shape = lambda f: F.when(F.abs(m2) < FLAT, F.lit(0.0)).otherwise(F.coalesce(f(x), F.lit(0.0)))
     values = (F.count(x), F.sum(x), F.min(x), F.max(x), F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0)), shape(F.skewness), shape(F.kurtosis))

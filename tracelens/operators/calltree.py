@@ -65,7 +65,7 @@ def nests(events: DataFrame) -> DataFrame:
     return pair.groupBy(*THREAD).agg((~F.max(bad)).alias("nested"))
 
 
-_STRICT = "pid long, rid long, tid long, fid long, seq int, entry long, exit long, runtime long, exclusive long, parent int, n_children int, error string"
+_STRICT = "pid long, rid long, tid long, fid {fid}, seq int, entry long, exit long, runtime long, exclusive long, parent int, n_children int, error string"
 
 
 def _stack(g: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +100,7 @@ def _stack(g: pd.DataFrame) -> pd.DataFrame:
 def executions_strict(events: DataFrame) -> DataFrame:
     """Executions by a stack for each thread; events that break it are rows with an error."""
     wanted = events.where(F.col("kind").isin("ENTRY", "EXIT")).select(*THREAD, "kind", "fid", "ts", "seq")
-    return wanted.groupBy(*THREAD).applyInPandas(_stack, _STRICT)
+    return wanted.groupBy(*THREAD).applyInPandas(_stack, _STRICT.format(fid=dict(events.dtypes)["fid"]))
 
 
 def attached(points: DataFrame, calls: DataFrame, bucket: int = 1_000_000) -> DataFrame:
@@ -111,10 +111,14 @@ def attached(points: DataFrame, calls: DataFrame, bucket: int = 1_000_000) -> Da
     """
     spans = calls.where("exit > 0").select(*THREAD, F.col("seq").alias("call_seq"), "entry", "exit")
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("entry") / bucket), F.floor(F.col("exit") / bucket))))
-    at = points.withColumn("bucket", F.floor(F.col("ts") / bucket)).withColumn("__id", F.monotonically_increasing_id())
-    hit = at.select(*THREAD, "bucket", "ts", "__id").join(spans, [*THREAD, "bucket"]).where("ts BETWEEN entry AND exit")
-    best = hit.groupBy("__id").agg(F.min_by("call_seq", F.struct("exit", -F.col("entry"), -F.col("call_seq"))).alias("call_seq"))
-    return at.join(best, "__id", "left").drop("__id", "bucket")
+    rest = [c for c in points.columns if c not in (*THREAD, "ts")]
+    # equal rows are told apart by number, which stays the same whenever the plan is run again
+    w = W.partitionBy(*THREAD, "ts").orderBy(*(rest or [F.lit(0)]))
+    at = points.withColumn("__k", F.row_number().over(w)).withColumn("bucket", F.floor(F.col("ts") / bucket))
+    on = [F.col(f"a.{k}") == F.col(f"s.{k}") for k in (*THREAD, "bucket")]
+    hit = at.alias("a").join(spans.alias("s"), [*on, F.col("ts").between(F.col("entry"), F.col("exit"))], "left")
+    own = [F.col(f"a.{c}").alias(c) for c in (*points.columns, "__k")]
+    return hit.groupBy(*own).agg(F.min_by("call_seq", F.struct("exit", -F.col("entry"), -F.col("call_seq"))).alias("call_seq")).drop("__k")
 
 
 def in_window(points: DataFrame, windows: DataFrame) -> DataFrame:

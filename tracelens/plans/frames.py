@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -34,43 +35,44 @@ CT = """ct AS (SELECT event_id AS id, 0::BIGINT AS pid, user_id % 4 AS rid, user
   date_diff('day', DATE '1970-01-01', ts::DATE)::INT AS step, epoch_us(ts) AS ts, (props::JSON->>'k')::BIGINT AS value FROM events)"""
 
 #: Times of an order's call and of its lines' calls within it.
-ORDER_SPAN, LINE_SPAN = 10_000, 1_000
+ORDER_SPAN, LINE_SPAN = 100_000, 1_000
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their place in the order; equal line numbers follow part and price."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    return li.withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries and exits: an order calls its lines one after another; customers are dealt to 64 threads of 4 ranks."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    li = lines(spark, sf_dir)
     thread = [F.lit(0).cast("long").alias("pid"), (F.col("o_custkey") % 4).alias("rid"), (F.col("o_custkey") % 64).alias("tid")]
     begin = F.col("o_orderkey") * ORDER_SPAN
     outer = o.select(*thread, F.col("o_orderpriority").alias("fid"), begin.alias("t0"), (begin + ORDER_SPAN - 1).alias("t1"))
-    t0 = begin + F.col("l_linenumber") * LINE_SPAN
+    t0 = begin + F.col("place") * LINE_SPAN
     inner = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*thread, F.col("l_returnflag").alias("fid"), t0.alias("t0"), (t0 + (F.col("l_quantity") * 10).cast("long")).alias("t1"))
     spans = outer.unionByName(inner)
     events = spans.select("pid", "rid", "tid", "fid", F.explode(F.array(F.struct(F.lit("ENTRY").alias("kind"), F.col("t0").alias("ts")), F.struct(F.lit("EXIT").alias("kind"), F.col("t1").alias("ts")))).alias("e")).select("pid", "rid", "tid", "fid", "e.*")
-    return events.withColumn("seq", F.row_number().over(_thread()))
-
-
-def _thread():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("pid", "rid", "tid").orderBy("ts")
+    return events.withColumn("seq", F.row_number().over(W.partitionBy("pid", "rid", "tid").orderBy("ts")))
 
 
 #: The same calls as spans; every order is a root, its lines are its children.
 SPANS = f"""o AS (SELECT 0::BIGINT AS pid, o_custkey % 4 AS rid, o_custkey % 64 AS tid, o_orderpriority AS fid, o_orderkey AS k, o_orderkey * {ORDER_SPAN} AS entry, o_orderkey * {ORDER_SPAN} + {ORDER_SPAN - 1} AS exit FROM orders),
-li AS (SELECT o.pid, o.rid, o.tid, l_returnflag AS fid, o.k, o.fid AS up, o.entry + l_linenumber * {LINE_SPAN} AS entry, o.entry + l_linenumber * {LINE_SPAN} + (l_quantity * 10)::BIGINT AS exit FROM lineitem JOIN o ON l_orderkey = o.k)"""
+li AS (SELECT o.pid, o.rid, o.tid, l_returnflag AS fid, o.k, o.fid AS up, o.entry + place * {LINE_SPAN} AS entry, o.entry + place * {LINE_SPAN} + (l_quantity * 10)::BIGINT AS exit
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem) JOIN o ON l_orderkey = o.k)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: one within each line's call, one in its order's call after the last line."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    li = lines(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     thread = [F.lit(0).cast("long").alias("pid"), (F.col("o_custkey") % 4).alias("rid"), (F.col("o_custkey") % 64).alias("tid")]
     begin = F.col("o_orderkey") * ORDER_SPAN
-    own = li.select(*thread, (begin + F.col("l_linenumber") * LINE_SPAN + 5).alias("ts"), F.col("l_partkey").alias("value"))
-    return own.unionByName(o.select(*thread, (begin + 9_500).alias("ts"), F.col("o_orderkey").alias("value")))
+    own = li.select(*thread, (begin + F.col("place") * LINE_SPAN + 5).alias("ts"), F.col("l_partkey").alias("value"))
+    return own.unionByName(o.select(*thread, (begin + 99_500).alias("ts"), F.col("o_orderkey").alias("value")))
 
 
 POINTS = f"""pt AS (SELECT li.pid, li.rid, li.tid, li.entry + 5 AS ts, li.fid FROM li
-  UNION ALL SELECT pid, rid, tid, entry + 9500, fid FROM o)"""
+  UNION ALL SELECT pid, rid, tid, entry + 99500, fid FROM o)"""
