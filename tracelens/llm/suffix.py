@@ -36,7 +36,7 @@ from tracelens.llm import _shared, _text
 LENGTH = 100
 HALF = LENGTH // 2
 #: Ranges of representatives for each shuffle partition: a range's windows are judged in memory.
-RANGES = 4
+RANGES = 8
 _TOP = np.uint64(2**64 - 1)
 _LAST = (1 << 63) - 1
 
@@ -81,11 +81,16 @@ def representatives(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return rank, rep, valid
 
 
+def spread(rep: np.ndarray) -> np.ndarray:
+    """48 bits for each representative, even over their range; representatives themselves are least ranks and crowd at its low end."""
+    return _text.mix(rep) >> np.uint64(16)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48 bits of the representatives, and their rows."""
     _, rep, valid = representatives(data, offsets)
     start = np.flatnonzero(valid & np.append(True, (rep[1:] != rep[:-1]) | ~valid[:-1])[: len(rep)]) if len(rep) else np.zeros(0, np.int64)
-    return rep[start] >> np.uint64(16), np.searchsorted(offsets, start, "right") - 1
+    return spread(rep[start]), np.searchsorted(offsets, start, "right") - 1
 
 
 def runs(data: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +110,7 @@ def runs(data: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = rank[rank == _sliding(around, LENGTH - HALF + 1, False)]
     at.sort()
     twice = np.unique(at[1:][at[1:] == at[:-1]])
-    short = own >> np.uint64(16)
+    short = spread(own)
     hit = np.isin(own, twice) if len(twice) else np.zeros(len(own), bool)
     if len(known):
         hit |= known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
