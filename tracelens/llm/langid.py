@@ -204,13 +204,13 @@ def fit(docs: DataFrame, sample_per_lang: int = 160, sample_chars: int = 20_000,
     return train(out)
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``; the model is broadcast, its size set by the landmarks."""
+def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds (or replaces) ``lang_pred`` and ``score``; the model is broadcast, its size set by the landmarks."""
     spark = docs.sparkSession
     session.ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in docs.columns if c not in names]
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(shared.value)
@@ -219,15 +219,15 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for lo, hi in _text.row_slices(offsets, 2 << 20, 2048):
                 part = batch.slice(lo, hi - lo)
                 lang, score = predict(shared.value, look, part.column(len(kept)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
 
     return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
     """The documents whose language is known: those that the model accepts, with their own columns."""
-    rows = classify(docs.withColumn("__keep", F.lit(True)), fit(docs))
-    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    rows = classify(docs, fit(docs), names=("__lang", "__score"))
+    return rows.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
