@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tracelens import session
 from tracelens.llm import _pretoken
@@ -159,8 +160,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
     types = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary"
     source = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
     schema = docs.select(*kept).schema
-    for f in types.split(", "):
-        schema = schema.add(*f.split(" ", 1)[:1], f.split(" ", 1)[1])
+    for f in StructType.fromDDL(types).fields:
+        schema = schema.add(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -211,9 +211,10 @@ def spans(docs: DataFrame) -> DataFrame:
             rank = ranks(body)
             first = _text.ragged(begin[order], windows)
             again = repeats(rank[first], rank[first + LENGTH - HALF])
-            # rows that repeat a document have the same windows at the same places: those aren't earlier
             run = np.repeat(np.arange(len(order)), windows)
-            again = _not_own(again, rank, first, head[order, 3][run], first - begin[order][run] + head[order, 1][run])
+            if (np.diff(head[order][:, [3, 1]], axis=0) == 0).all(axis=1).any():
+                # rows that repeat a document have the same windows at the same places: those aren't earlier
+                again = _not_own(again, rank, first, head[order, 3][run], first - begin[order][run] + head[order, 1][run])
             edge = np.flatnonzero(again & np.append(True, ~again[:-1] | (run[1:] != run[:-1])))
             stop = np.flatnonzero(again & np.append(~again[1:] | (run[1:] != run[:-1]), True))
             r = order[run[edge]]
@@ -242,15 +243,11 @@ def spans(docs: DataFrame) -> DataFrame:
     schema = "part int, block long, meta boolean, a binary, b binary"
     sent = given.mapInArrow(send, schema)
     judged = sent.groupBy("part").applyInArrow(judge, schema)
-    out = session.materialize(judged.groupBy("block").applyInArrow(gather, "id long, h long, starts binary, ends binary"), "spans")
-    session.release(spark)
-    return out
+    return session.materialize(judged.groupBy("block").applyInArrow(gather, "id long, h long, starts binary, ends binary"), "spans")
 
 
 def _not_own(again: np.ndarray, rank: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Takes back entries whose first occurrence is the same document and position (a repeated row)."""
-    if len(doc) < 2 or not ((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])).any():
-        return again
     pair = _text.mix(rank[first] * np.uint64(0x9E3779B97F4A7C15) + rank[first + LENGTH - HALF])
     order = np.argsort(pair, kind="stable")
     head = np.append(True, pair[order][1:] != pair[order][:-1])
@@ -273,6 +270,7 @@ def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with ``__spans``: (h, starts, ends) of the texts with this key."""
     rows = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(_LAST)))
     found = spans(rows.select(F.col("__id").alias("id"), F.col(text).alias("text")))
+    session.release(docs.sparkSession)  # now that nothing refers to the shuffles of the rounds
     found = found.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("h", "starts", "ends")).alias("__spans"))
     return rows.withColumn("__h", F.xxhash64(text)).join(found, "__id", "left").drop("__id")
 
