@@ -39,7 +39,7 @@ def _r(c, name: str | None = None):
 
 
 def _figures(struct: str, prefix: str = ""):
-    return [(F.col(f"{struct}.{n}") if n == "count" else _r(f"{struct}.{n}")).alias(prefix + n) for n in R.FIELDS]
+    return [(F.col(f"{struct}.{n}") if n == "count" else _r(f"{struct}.{n}") + 0.0).alias(prefix + n) for n in R.FIELDS]  # + 0.0: no negative zeros
 
 
 def _moments(source: str, keys: str, x: str, prefix: str = "") -> str:
@@ -49,8 +49,8 @@ def _moments(source: str, keys: str, x: str, prefix: str = "") -> str:
     p = prefix
     return f"""SELECT {", ".join(f"m.{c}" for c in k)}, n AS "{p}count", round(total, 6) AS {p}accumulate, round(lo, 6) AS {p}minimum, round(hi, 6) AS {p}maximum, round(mu, 6) AS {p}mean,
   round(CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) ELSE 0 END, 6) AS {p}stddev,
-  round(CASE WHEN m2 < 1e-7 THEN 0 ELSE sqrt(n) * m3 / pow(m2, 1.5) END, 6) AS {p}skewness,
-  round(CASE WHEN m2 < 1e-7 THEN 0 ELSE n * m4 / (m2 * m2) - 3 END, 6) AS {p}kurtosis
+  round(CASE WHEN m2 < 1e-7 THEN 0 ELSE sqrt(n) * m3 / pow(m2, 1.5) END, 6) + 0.0 AS {p}skewness,
+  round(CASE WHEN m2 < 1e-7 THEN 0 ELSE n * m4 / (m2 * m2) - 3 END, 6) + 0.0 AS {p}kurtosis
 FROM (SELECT {", ".join(f"s.{c}" for c in k)}, any_value(n) AS n, any_value(total) AS total, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mu) AS mu,
     sum(pow({x} - mu, 2)) AS m2, sum(pow({x} - mu, 3)) AS m3, sum(pow({x} - mu, 4)) AS m4
   FROM {source} s JOIN (SELECT {keys}, count({x}) AS n, sum({x})::DOUBLE AS total, min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi, avg({x}) AS mu FROM {source} GROUP BY {keys}) m ON {on}
