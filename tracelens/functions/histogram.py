@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bins of what lies outside.
 LEFT, RIGHT = -1, -2
 #: Merges that would need more bins use the wider input's width instead.
 MAX_BINS = 50_000
@@ -157,6 +158,7 @@ class Histogram:
         return int(out.sum()), Histogram(self.counts - out, self.start, self.width, self.lo, self.hi)
 
     def to_json(self) -> dict:
+        """The keys are fixed values of the stored format."""
         return {"Bin Counts": self.counts.tolist(), "First edge": self.start, "Bin width": self.width, "Min": self.lo, "Max": self.hi}
 
     @classmethod

@@ -68,6 +68,10 @@ def nests(events: DataFrame) -> DataFrame:
 _STRICT = "pid long, rid long, tid long, fid {fid}, seq int, entry long, exit long, runtime long, exclusive long, parent int, n_children int, error string"
 
 
+#: What an exit without its call is.
+NO_CALL, WRONG_CALL = "EmptyCallStack", "CallStackViolation"
+
+
 def _stack(g: pd.DataFrame) -> pd.DataFrame:
     calls, stack, errors = {}, [], []
     g = g.sort_values("seq")
@@ -79,9 +83,9 @@ def _stack(g: pd.DataFrame) -> pd.DataFrame:
             calls[seq] = {"fid": fid, "seq": seq, "entry": ts, "exit": 0, "runtime": 0, "exclusive": 0, "parent": parent, "n_children": 0, "error": None, "inner": 0}
             stack.append(seq)
         elif not stack:
-            errors.append((fid, seq, ts, "EmptyCallStack"))
+            errors.append((fid, seq, ts, NO_CALL))
         elif calls[stack[-1]]["fid"] != fid or ts < calls[stack[-1]]["entry"]:
-            errors.append((fid, seq, ts, "CallStackViolation"))
+            errors.append((fid, seq, ts, WRONG_CALL))
         else:
             call = calls[stack.pop()]
             call["exit"], call["runtime"] = ts, ts - call["entry"]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import histogram as H
 
-#: Added to probabilities before the logarithm; bounds scores by about 100.
+#: Fixed value. Added to probabilities before the logarithm; bounds scores by about 100.
 ALPHA = 78.88e-32
+#: Fixed values of labels; 0 is not labelled yet.
 NORMAL, OUTLIER = 1, -1
 
 

@@ -37,7 +37,7 @@ def watched_by_prefix(names: DataFrame, prefix: str = "monitoring: ") -> DataFra
 
 
 def gpu_threads(metadata: DataFrame) -> DataFrame:
-    """Threads that metadata binds to a device, context and stream."""
+    """Threads that metadata binds to a device, context and stream; the descriptions are fixed values."""
     kinds = {"CUDA Device": "device", "CUDA Context": "context", "CUDA Stream": "stream"}
     return metadata.where(F.col("descr").isin(*kinds)).groupBy("pid", "rid", "tid").agg(*(F.max(F.when(F.col("descr") == k, F.col("value").cast("long"))).alias(v) for k, v in kinds.items()))
 
