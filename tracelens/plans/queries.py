@@ -175,15 +175,14 @@ def anomaly_metrics_allranks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LAB}, p AS (SELECT func, rid, count(*) AS calls, round(avg(exclusive), 6) AS mean FROM ex WHERE rid < 3 GROUP BY ALL),
-a AS (SELECT func, rid, count(*) AS n, round(avg(score), 6) AS score FROM lab WHERE label = -1 GROUP BY ALL)
-SELECT func, rid, calls, mean, n, score FROM p FULL JOIN a USING (func, rid)"""
+    f"""WITH {_LAB}, p AS (SELECT func, tid, count(*) AS calls, round(avg(exclusive), 6) AS mean FROM ex GROUP BY ALL),
+a AS (SELECT func, tid, count(*) AS n, round(avg(score), 6) AS score FROM lab WHERE label = -1 GROUP BY ALL)
+SELECT func, tid, calls, mean, n, score FROM p FULL JOIN a USING (func, tid)"""
 )
 def func_stats_full_outer(spark, sf_dir):
-    e = execs(spark, sf_dir).where("rid < 3")
-    p = e.groupBy("func", "rid").agg(F.count("*").alias("calls"), _r(F.avg("exclusive"), "mean"))
-    a = S.anomaly_metrics(_labelled(spark, sf_dir), ["func", "rid"]).select("func", "rid", "n", _r("score.mean", "score"))
-    return S.function_stats(p, a, ["func", "rid"])
+    p = execs(spark, sf_dir).groupBy("func", "tid").agg(F.count("*").alias("calls"), _r(F.avg("exclusive"), "mean"))
+    a = S.anomaly_metrics(_labelled(spark, sf_dir), ["func", "tid"]).select("func", "tid", "n", _r("score.mean", "score"))
+    return S.function_stats(p, a, ["func", "tid"])
 
 
 @query(
@@ -440,21 +439,22 @@ def topk_functions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EX}, a AS (SELECT func, tid, round(sum(exclusive), 4) AS severity FROM ex WHERE rid < 2 AND tid % 3 > 0 GROUP BY ALL), b AS (SELECT func, tid, round(sum(exclusive), 4) AS severity FROM ex WHERE tid % 5 > 0 GROUP BY ALL)
+    f"""WITH {EX}, a AS (SELECT func, tid, round(sum(exclusive), 4) AS severity FROM ex WHERE rid < 2 GROUP BY ALL), b AS (SELECT func, tid, round(sum(exclusive), 4) AS severity FROM ex WHERE rid >= 2 GROUP BY ALL)
 SELECT func, tid, a.severity AS severity_a, b.severity AS severity_b, greatest(a.severity, b.severity) AS greatest FROM a FULL JOIN b USING (func, tid) ORDER BY greatest DESC NULLS LAST, func, tid LIMIT 10"""
 )
 def between_run_diff(spark, sf_dir):
-    e = execs(spark, sf_dir)
-    a, b = (x.groupBy("func", "tid").agg(F.round(F.sum("exclusive"), 4).alias("severity")) for x in (e.where("rid < 2 AND tid % 3 > 0"), e.where("tid % 5 > 0")))
+    """The ten functions and threads of greatest severity; the first two ranks are one run, the others another."""
+    s = execs(spark, sf_dir).groupBy("func", "tid", "rid").agg(F.round(F.sum("exclusive"), 4).alias("severity"))
+    a, b = (s.where(c).select("func", "tid", "severity") for c in ("rid < 2", "rid >= 2"))
     return D.between_runs(a, b, ["func", "tid"], "severity")
 
 
-@query(f"WITH {EX} SELECT rid, func, step, count(*) AS reported, count(*) FILTER (id % 50 <> 0) AS stored FROM ex GROUP BY ALL HAVING count(*) <> count(*) FILTER (id % 50 <> 0)")
+@query(f"WITH {_LAB} SELECT rid, func, step, count(*) AS reported, count(*) FILTER (exclusive >= 260) AS stored FROM lab WHERE label = -1 GROUP BY ALL HAVING count(*) <> count(*) FILTER (exclusive >= 260)")
 def viz_validate(spark, sf_dir):
-    """Reported counts against records of which some are missing."""
-    e = execs(spark, sf_dir)
-    reported = e.groupBy("rid", "func", "step").agg(F.count("*").alias("reported"))
-    return D.validated(e.where("id % 50 <> 0"), reported, ["rid", "func", "step"]).select("rid", "func", "step", "reported", "stored")
+    """Reported anomalies against stored records, which leave out those under a minimum time."""
+    found = _labelled(spark, sf_dir).where("label = -1")
+    reported = found.groupBy("rid", "func", "step").agg(F.count("*").alias("reported"))
+    return D.validated(found.where("exclusive >= 260"), reported, ["rid", "func", "step"]).select("rid", "func", "step", "reported", "stored")
 
 
 @query(
