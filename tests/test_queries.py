@@ -44,5 +44,5 @@ def test_query(spark, db, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["id", "func", "tid", "step", "exclusive", "score"]
+    assert e.entry(spark).columns == ["id", "func", "label", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
