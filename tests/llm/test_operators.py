@@ -347,6 +347,44 @@ def test_decisions_are_a_distribution():
     assert np.exp2(-cost.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(lm.SETS)), abs=1e-4)
 
 
+def test_model_counts_every_context_for_itself():
+    """Log-odds are those of exact counts by (context, node), whatever else was counted."""
+    code = lm.tree(np.bincount(np.frombuffer(b"the cat sat on the mat " * 9, np.uint8), minlength=lm.SYMBOLS))
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(97, 123, 40).astype(np.uint8)) for _ in range(20_000)] + [b"the cat sat"] * 3
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    held = np.zeros(len(texts), bool)
+    held[-1] = True
+    got = list(lm.asked(code, np.frombuffer(b"".join(texts), np.uint8), offsets, held))
+    keys, times = lm.summed(np.concatenate([k for g in got for k in g.keys]), np.concatenate([t for g in got for t in g.times]))
+    odds, start = lm.paths(code, keys, times.astype(np.int64))
+    last = got[-1]
+    seen, want = defaultdict(Counter), []
+    for t in texts[:-1]:
+        s = [*t, lm.END]
+        for i, c in enumerate(s):
+            seen[tuple(s[max(0, i - 4) : i])][c] += 1
+    s = [*texts[-1], lm.END]
+    for i, c in enumerate(s):
+        counts, path = seen[tuple(s[max(0, i - 4) : i])], []
+        for d in range(code.size[c]):
+            under = [x for x in counts if code.size[x] > d and code.node[d, x] == code.node[d, c]]
+            one = sum(counts[x] for x in under if code.bit[d, x])
+            zero = sum(counts[x] for x in under if not code.bit[d, x])
+            path.append(max(-127, min(127, round(math.log((one + 0.4) / (zero + 0.4)) * lm.SCALE))))
+        want.append(path)
+    at = np.searchsorted(keys, last.keys[1][last.index[1][last.number[-len(s) :]]])
+    assert [odds[start[k] : start[k + 1]].tolist() for k in at] == want
+    # each context keeps a hash of its own
+    assert len(np.unique(keys >> np.uint64(9))) > 500_000
+    every = np.concatenate([(k >> np.uint64(9) << np.uint64(9))[:1] | code.leaf for k in last.keys])
+    full, n = lm.summed(np.concatenate([keys, every]), np.concatenate([times, np.zeros(len(every), times.dtype)]))
+    odds, start = lm.paths(code, full, n.astype(np.int64))
+    begins = [start[np.searchsorted(full, e)] for e in every.reshape(3, -1)]
+    cost = lm.mixed(code, np.arange(lm.SYMBOLS).astype(np.int16), lambda d, at, _: [odds[(b if at is None else b[at]) + d] for b in begins])
+    assert np.exp2(-cost.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(lm.SETS)), abs=1e-4)
+
+
 # -- 10
 
 

@@ -7,6 +7,8 @@ with a chance of about 2**-56, whatever their length.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,3 +124,15 @@ def unpack(raw, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     flat = np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width)
     return np.ascontiguousarray(flat.T).view(dtype).reshape(-1)
+
+
+@functools.cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that is free again back to the system; a worker waits with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if give := _malloc_trim():
+        give(0)
