@@ -158,6 +158,20 @@ def test_language_id_learns_and_rejects(spark, empty):
     assert langid.classify(empty, langid.fit(empty)).count() == 0
 
 
+def test_identified_drops_unseen_languages_and_gibberish(spark):
+    r = np.random.default_rng(5)
+    stems = {g: ["".join(r.choice(list("abcdefghijklmnoprstuvwz"), 2 + k % 4)) for k in range(30)] for g in ("aa", "bb", "cc", "dd", "zz")}
+    say = lambda g, n: " ".join("".join(r.choice(stems[g], 2)) for _ in range(n))
+    rows = [(k, say(("aa", "bb", "cc", "dd")[k % 4], int(r.integers(40, 200))), ("aa", "bb", "cc", "dd")[k % 4]) for k in range(400)]
+    odd = ["".join(chr(x) for x in r.integers(0x0430, 0x0450, 300)) for _ in range(20)]  # a script that no landmark has
+    odd += [say("zz", 100) for _ in range(20)]  # a language that no landmark has
+    odd += [" ".join("".join(r.choice(list("abcdefghijklmnoprstuvwz"), 5)) for _ in range(80)) for _ in range(20)]
+    rows += [(1000 + k, t, None) for k, t in enumerate(odd)]
+    kept = {x["doc_id"] for x in langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not {k for k in kept if k >= 1000}
+    assert len(kept) == 400
+
+
 def test_presence_kernel_counts_shared_grams():
     texts = ["ab dcab", "abab cd", "xyz"]
     model = langid.train([(t, t) for t in texts])

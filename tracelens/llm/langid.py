@@ -9,6 +9,13 @@ regression is solved on it for the training sample. Scoring a batch is two matri
 products: presence rows times the landmarks' presence, then times one matrix that folds
 the Nyström root and the ridge weights.
 
+The ridge output says which language is nearest, not whether the text is in one at all. For that
+a text's evidence counts: the share of its n-grams (repeats included) that the landmarks of its
+language hold. ``Model.least`` is the bound of each language, fitted on the labelled sample
+(median less four times its distance from the 5 % quantile or less its quarter, wider for texts
+shorter than the sample's, and half of the n-grams or of the median at the least); ``identified`` drops what is below.
+A language with a single landmark and no other row gives no bound.
+
 Whole texts are scored. Only the training sample is bounded (``sample_per_lang`` texts of
 at most ``sample_chars`` characters for each language, picked by a hash of their id).
 
@@ -56,6 +63,13 @@ class Model:
     presence: np.ndarray  # n-grams x landmarks, 0 or 1
     norms: np.ndarray  # root of k(l, l) of each landmark
     fold: np.ndarray  # landmarks x languages
+    held: np.ndarray | None = None  # n-grams x languages: how many landmarks have it
+    least: np.ndarray | None = None  # languages x (median share, distance to its 5 % quantile, median count of n-grams)
+
+    def bound(self, lang: int, count: int) -> float:
+        """The least share of known n-grams for a text of ``count`` n-grams in this language."""
+        middle, spread, usual = self.least[lang]
+        return max(middle - max(4 * spread, middle / 4) * max(1.0, np.sqrt(usual / max(count, 1))), min(0.5, middle / 2))
 
 
 def _symbols(texts: list[str]) -> np.ndarray:
@@ -122,6 +136,12 @@ class _Lookup:
                 found.append(np.searchsorted(g, rest) + self.base[n])
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
+    def shares(self, text: str, need: int = 1) -> tuple[np.ndarray, int]:
+        """For each language, the share of the text's n-grams that ``need`` landmarks have, and how many n-grams there are."""
+        codes = _codes(text)
+        total = sum(max(0, len(codes) - n) for n in range(MAX_N))
+        return (self.model.held[self.columns(self.model.symbols[codes])] >= need).sum(axis=0) / max(total, 1), total
+
     def rows(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), int(self.base[-1])), np.float32)
         for i, t in enumerate(texts):
@@ -159,6 +179,17 @@ def train(rows: list[tuple[str, str]], landmarks_per_lang: int = 16, ridge: floa
     weight = np.array([1.0 / sum(h == g for _, h in rows) for _, g in rows])[:, None] * len(rows) / len(langs)
     w = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ (weight * target))
     model.fold = (root @ w).astype(np.float32)
+    owner = [i for i, g in enumerate(langs) for _ in range(min(landmarks_per_lang, sum(h == g for _, h in rows)))]
+    model.held = np.stack([presence[[o == i for o in owner]].sum(axis=0) for i in range(len(langs))], axis=1).astype(np.uint16)
+    least = []
+    for i, g in enumerate(langs):
+        own = [t for t, h in rows if h == g]
+        # a landmark is judged by the others, like a text that isn't one
+        got = [look.shares(t, 2 if k < landmarks_per_lang else 1) for k, t in enumerate(own)]
+        share, count = np.array([x[i] for x, _ in got]), np.array([n for _, n in got])
+        middle = np.median(share)
+        least.append((middle, middle - np.quantile(share, 0.05), np.median(count)))
+    model.least = np.array(least)
     return model
 
 
@@ -168,7 +199,13 @@ BATCH = 64
 
 def predict(model: Model, look: _Lookup, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Languages, and scores: the ridge output of the language moved to 0 ... 1."""
-    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    lang, score, _ = _judged(model, look, texts, False)
+    return lang, score
+
+
+def _judged(model: Model, look: _Lookup, texts: list[str | None], evidence: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores, and with ``evidence`` whether enough of the text's n-grams are known in that language."""
+    lang, score, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     # any letter at all: a fold that leaves something besides blanks
     some = [i for i, t in enumerate(texts) if t and np.any(_codes(t) != 32)]
     for k in range(0, len(some) if model.langs else 0, BATCH):
@@ -178,7 +215,10 @@ def predict(model: Model, look: _Lookup, texts: list[str | None]) -> tuple[list[
         for i, b, o in zip(part, best, out, strict=True):
             lang[i] = model.langs[b]
             score[i] = min(1.0, max(0.0, (float(o[b]) + 1) / 2))
-    return lang, score
+            if evidence:
+                share, count = look.shares(texts[i])
+                known[i] = share[b] >= model.bound(b, count)
+    return lang, score, known
 
 
 def held_out(key: str = "doc_id"):
@@ -204,13 +244,14 @@ def fit(docs: DataFrame, sample_per_lang: int = 160, sample_chars: int = 20_000,
     return train(out)
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds (or replaces) ``lang_pred`` and ``score``; the model is broadcast, its size set by the landmarks."""
+def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds (or replaces) ``lang_pred`` and ``score``, and with a third name whether the evidence is enough; the model is broadcast, its size set by the landmarks."""
     spark = docs.sparkSession
     session.ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in names]
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
+    schema = schema.add(names[2], "boolean") if len(names) > 2 else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(shared.value)
@@ -218,16 +259,17 @@ def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
             _, offsets = _text.buffers(batch.column(len(kept)))
             for lo, hi in _text.row_slices(offsets, 2 << 20, 2048):
                 part = batch.slice(lo, hi - lo)
-                lang, score = predict(shared.value, look, part.column(len(kept)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
+                lang, score, known = _judged(shared.value, look, part.column(len(kept)).to_pylist(), len(names) > 2)
+                new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known)][: len(names)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=[*kept, *names])
 
     return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
-    """The documents whose language is known: those that the model accepts, with their own columns."""
-    rows = classify(docs, fit(docs), names=("__lang", "__score"))
-    return rows.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    """The documents whose language is known: those that the model accepts on enough evidence, with their own columns."""
+    rows = classify(docs, fit(docs), names=("__lang", "__score", "__known"))
+    return rows.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score) & F.col("__known")).select(*docs.columns)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
