@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracelens.llm import bpe, fingerprint, jaccard, langid, lines, lm, media, packing, suffix, warc
+from tracelens.llm import _shared, bpe, fingerprint, jaccard, langid, lines, lm, media, packing, suffix, warc
 from tracelens.llm._text import pack, unpack
 
 P = pytest.importorskip("public_tokenizers")
@@ -325,10 +325,21 @@ def test_suffix_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
-def test_repeats_with_colliding_bits():
+def test_suffix_dedup_by_salts(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 2)
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 2000)
+    assert Counter(tuple(r) for r in suffix.removed(docs).collect()) == brute_suffix(rows)
+
+
+def test_shared_tokens_that_a_block_adds_up(docs, rows, monkeypatch):
+    monkeypatch.setattr(_shared, "HEAVY", 2)
+    assert Counter(tuple(r) for r in suffix.removed(docs).collect()) == brute_suffix(rows)
+
+
+def test_leads_with_colliding_bits():
     rank = np.array([5, 6, 5, 7, 6, 5], np.uint64)
-    assert suffix.repeats(rank, rank).tolist() == [False, False, True, False, True, True]
-    assert suffix.repeats(np.zeros(0, np.uint64), np.zeros(0, np.uint64)).tolist() == []
+    assert suffix._leads(rank, rank).tolist() == [0, 1, 0, 3, 1, 0]
+    assert suffix._leads(rank[:0], rank[:0]).tolist() == []
 
 
 # -- 9

@@ -4,8 +4,9 @@ Rows of (token, document) would be the largest shuffle by far, so tokens travel
 blocks: a block of documents sorts its (token, row) pairs as single 64-bit numbers and
 sends one slice to each token range. A range counts its tokens over all blocks and sends
 back those that occur at least twice; the slices of a block then meet again and fall into
-documents. Tokens are 48-bit hashes, even over ranges whatever the texts hold; a token
-that every document has costs one entry per document, like any other.
+documents. Tokens are 48-bit hashes, even over ranges. A token that many rows of a block
+have is added up in the block first and costs one entry there, so a range holds at most
+``HEAVY`` entries of a token for each block, however many documents share it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from tracelens.llm import _text
 #: Text that one block takes before it is sent.
 BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 60_000
+#: Rows of a block that have one token, from which on the block sends their number instead of them.
+HEAVY = 64
+_ALL = np.uint64(0xFFFF)  # stands for the rows of such a token; a block has fewer
 
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -31,12 +35,18 @@ def bounds(parts: int) -> np.ndarray:
     return np.array([(i << 48) // parts for i in range(1, parts)], np.uint64)
 
 
+def home(block: int, parts: int) -> int:
+    """The range that a block's own rows travel with: blocks of all tasks are dealt evenly."""
+    return int(_text.mix(np.array([block], np.uint64))[0] % np.uint64(parts))
+
+
 def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: int = 0) -> DataFrame:
     """A row per row of ``docs`` (columns id long, text): id, n, tokens, frequencies.
 
     ``extract(bytes, offsets)`` gives tokens (uint64 below 2**48) and their row. n counts a row's
     distinct tokens; ``tokens`` are the shared ones, ascending (uint64 bytes), beside frequencies
-    (uint16 bytes, at most 65535). Both are null if under ``keep_percent`` of n or none are shared.
+    (uint16 bytes; 65535 stands for more, which only orders tokens). Both are null if under
+    ``keep_percent`` of n or none are shared.
     """
     spark = docs.sparkSession
     session.ship(spark)
@@ -46,19 +56,28 @@ def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: in
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        names = ["part", "block", "meta", "a", "b"]
+        names = ["part", "block", "meta", "a", "b", "c"]
         edges = bounds(parts)
 
         def rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
             key = np.unique(np.concatenate(keys))
             own = np.concatenate(ids)
-            count = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), minlength=len(own)).astype(np.uint32)
+            count = np.bincount((key & _ALL).astype(np.int64), minlength=len(own)).astype(np.uint32)
+            token = key >> np.uint64(16)
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(token)))
+            many = np.repeat(times >= HEAVY, times)
+            kept, times = key[many], times[times >= HEAVY].astype(np.uint32)
+            key = np.concatenate([key[~many], np.unique(kept | _ALL)])
+            key.sort()
             cut = np.concatenate([[0], np.searchsorted(key, edges << np.uint64(16)), [len(key)]])
+            at = np.concatenate([[0], np.cumsum((key & _ALL) == _ALL)])[cut]
             some = [i for i in range(parts) if cut[i] < cut[i + 1]]
             a = [own.astype("<i8").tobytes(), *(_text.pack(key[cut[i] : cut[i + 1]]) for i in some)]
-            b = [count.tobytes(), *[None] * len(some)]
+            b = [count.tobytes(), *(times[at[i] : at[i + 1]].tobytes() for i in some)]
+            c = [_text.pack(kept), *[None] * len(some)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([block % parts, *some], pa.int32()), pa.array([block] * len(a), pa.int64()), pa.array([True] + [False] * len(some)), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=names
+                [pa.array([home(block, parts), *some], pa.int32()), pa.array([block] * len(a), pa.int64()), pa.array([True] + [False] * len(some)), *(pa.array(x, pa.binary()) for x in (a, b, c))], names=names
             )
 
         keys, ids, size, number = [], [], 0, 0
@@ -79,23 +98,29 @@ def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: in
 
     def count(table: pa.Table) -> pa.Table:
         meta = table.column("meta").to_numpy(zero_copy_only=False)
-        body = table.column("a").to_pylist()
-        keys = [_text.unpack(body[i], np.uint64) for i in np.flatnonzero(~meta)]
-        token = np.sort(np.concatenate([k >> np.uint64(16) for k in keys])) if keys else np.zeros(0, np.uint64)
+        a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
+        at = np.flatnonzero(~meta)
+        keys = [_text.unpack(a[i], np.uint64) for i in at]
+        weights = []
+        for i, key in zip(at, keys, strict=True):
+            weights.append(np.ones(len(key), np.uint32))
+            weights[-1][(key & _ALL) == _ALL] = np.frombuffer(b[i], np.uint32)
+        token = np.concatenate([k >> np.uint64(16) for k in keys]) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(token)
+        token = token[order]
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(token)))
+        times = np.add.reduceat(np.concatenate(weights)[order], first, dtype=np.int64) if len(token) else np.zeros(0, np.int64)
         known, times = token[first][times >= 2], np.minimum(times[times >= 2], 65535).astype(np.uint16)
-        del token
-        a, b = list(body), table.column("b").to_pylist()
-        for i, key in zip(np.flatnonzero(~meta), keys, strict=True):
+        del token, order, weights
+        for i, key in zip(at, keys, strict=True):
             if not len(known):
                 a[i], b[i] = b"", b""
                 continue
             own = key >> np.uint64(16)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[at] == own
-            a[i], b[i] = _text.pack(key[hit]), times[at[hit]].tobytes()
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "meta": table.column("meta"), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[place] == own
+            a[i], b[i] = _text.pack(key[hit]), times[place[hit]].tobytes()
+        return table.select(["part", "block", "meta"]).append_column("a", pa.array(a, pa.binary())).append_column("b", pa.array(b, pa.binary())).append_column("c", table.column("c"))
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
@@ -106,7 +131,13 @@ def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: in
         rest = [i for i in np.flatnonzero(~meta) if b[i]]
         key = np.concatenate([_text.unpack(a[i], np.uint64) for i in rest]) if rest else np.zeros(0, np.uint64)
         times = np.concatenate([np.frombuffer(b[i], np.uint16) for i in rest]) if rest else np.zeros(0, np.uint16)
-        row = (key & np.uint64(0xFFFF)).astype(np.uint16)
+        if len(kept := _text.unpack(table.column("c")[at].as_py(), np.uint64)):
+            heavy = (key & _ALL) == _ALL  # ascending, as ranges are
+            known = np.searchsorted(key[heavy] >> np.uint64(16), kept >> np.uint64(16))
+            key, times = np.concatenate([key[~heavy], kept]), np.concatenate([times[~heavy], times[heavy][known]])
+            order = np.argsort(key)
+            key, times = key[order], times[order]
+        row = (key & _ALL).astype(np.uint16)
         order = np.argsort(row, kind="stable")
         token, times = (key >> np.uint64(16))[order], times[order]
         size = np.bincount(row, minlength=len(ids))
@@ -116,7 +147,7 @@ def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: in
         freqs = [times[e - s : e].tobytes() if w else None for s, e, w in zip(size, end, whole, strict=True)]
         return pa.table({"id": pa.array(ids), "n": pa.array(n), "tokens": pa.array(tokens, pa.binary()), "freqs": pa.array(freqs, pa.binary())})
 
-    schema = "part int, block long, meta boolean, a binary, b binary"
+    schema = "part int, block long, meta boolean, a binary, b binary, c binary"
     sent = docs.select("id", "text").mapInArrow(send, schema)
     counted = sent.groupBy("part").applyInArrow(count, schema)
     return session.materialize(counted.groupBy("block").applyInArrow(gather, "id long, n long, tokens binary, freqs binary"), name)
