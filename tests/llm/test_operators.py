@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracelens.llm import _shared, bpe, fingerprint, jaccard, langid, lines, lm, media, packing, suffix, warc
+from tracelens.llm import _shared, _text, bpe, fingerprint, jaccard, langid, lines, lm, media, packing, suffix, warc
 from tracelens.llm._text import pack, unpack
 
 P = pytest.importorskip("public_tokenizers")
@@ -237,7 +238,8 @@ def test_packing_of_documents(docs, empty):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    marked = docs.select("doc_id", "text").limit(1).selectExpr("5000 AS doc_id", "explode(array('a<|endoftext|> b <|endoftext|>', '<|endoftext|><|endoftext|>x<|endoft', 'ext|>  <|endoftext|>')) AS text")
+    docs = docs.select("doc_id", "text").unionByName(marked).cache()
     got = packing.pack(docs, path).toPandas()
     want = Counter()
     for r in docs.collect():
@@ -424,6 +426,30 @@ def test_bpe_matches_the_library(docs, rows, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_on_long_words():
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    words = [say("abcdefghijklmnopqrstuvwxyz", n) for n in (47, 48, 49, 97, 30_000, 300_000)] + [say("etaoin", 5000), "a" * 70_000, "ab" * 20_000, say("日本語éß", 3000), "the" * 9000]
+    for w, (ids, raw) in zip(words, bpe.Encoder(ranks)(words), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(w) and raw == w.encode()
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = pa.array(["some words, and others", None, "more words"])
+    want = list(bpe.encode_batch(texts, path))
+    monkeypatch.setattr(bpe, "_WORKER", {})
+    monkeypatch.setattr(_text, "spans", lambda pre, a, b: np.zeros(len(a), np.uint64))
+    got = list(bpe.encode_batch(texts, path))
+    assert [[x.tolist() for x in w[1]] for w in got] == [[x.tolist() for x in w[1]] for w in want] and [w[2] for w in got] == [w[2] for w in want]
+
+
 def test_bpe_on_random_text():
     tiktoken = pytest.importorskip("tiktoken")
     hypothesis = pytest.importorskip("hypothesis")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -63,10 +64,10 @@ def pieces(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Words seen by this worker with their ids; emptied when it holds ``limit`` words."""
+    """Words seen by this worker with their ids; emptied when it holds ``limit`` words or ``limit_bytes`` of them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[np.ndarray, bytes]]], limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[tuple[np.ndarray, bytes]]], limit: int = 1_000_000, limit_bytes: int = 32 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
@@ -81,7 +82,7 @@ class WordTable:
         """The table's row of each hash; ``word(i)`` gives the i-th word's text."""
         u = np.unique(h)
         inv = np.searchsorted(u, h)
-        if len(self.hash) + len(u) > self.limit and len(self.hash):
+        if (len(self.hash) + len(u) > self.limit or len(self.raw) > self.limit_bytes) and len(self.hash):
             self.clear()
         at = np.searchsorted(self.hash, u)
         known = np.zeros(len(u), bool)
@@ -105,8 +106,12 @@ class WordTable:
         return self.row[np.searchsorted(self.hash, u)][inv]
 
 
-def encoded(column, table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, ids, ids' offsets by row, decoded bytes, their offsets by row."""
+def encoded(column, table: WordTable, special: re.Pattern | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of rows: first row, ids, ids' offsets by row, decoded bytes, their offsets by row.
+
+    What ``special`` matches within a text is one word, and the text on either side is split by itself.
+    Words are found by their hash; that the table's words are the text is then compared byte by byte.
+    """
     data, offsets = _text.buffers(column)
     classes()
     for lo, hi in _text.row_slices(offsets):
@@ -116,7 +121,11 @@ def encoded(column, table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndar
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         heads = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
         coff = heads[off]
-        start = pieces(cp, coff)
+        apart = _matches(text, coff, special) if special else coff[:0]
+        start = pieces(cp, np.unique(np.concatenate([coff, *apart])) if len(apart) else coff)
+        if len(apart):
+            inside = np.searchsorted(apart[0], start, "right") - 1
+            start = start[(inside < 0) | (start <= apart[0][inside]) | (start >= apart[1][inside])]
         end = np.append(start[1:], len(cp))
         h = _text.spans(_text.prefix(_TABLES["val"][cp]), start, end)
         row = table.rows(h, lambda i: text[start[i] : end[i]]) if len(start) else np.zeros(0, np.int64)
@@ -124,4 +133,19 @@ def encoded(column, table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndar
         size, bsize = table.size[row], table.bsize[row]
         ids = table.ids[_text.ragged(table.start[row], size)]
         raw = table.raw[_text.ragged(table.bstart[row], bsize)]
+        if len(raw) != len(body) or not np.array_equal(raw, body):  # two words share a hash, or the bytes aren't UTF-8
+            got = table.encode([text[a:b] for a, b in zip(start, end, strict=True)])
+            size, bsize = (np.array([len(x[i]) for x in got], np.int64) for i in (0, 1))
+            ids, raw = np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x, _ in got)]), np.frombuffer(b"".join(b for _, b in got), np.uint8)
         yield lo, ids, np.concatenate([[0], np.cumsum(size)])[at], raw, np.concatenate([[0], np.cumsum(bsize)])[at]
+
+
+def _matches(text: str, offsets: np.ndarray, special: re.Pattern) -> np.ndarray:
+    """Starts and ends of what matches within a row."""
+    found = np.array([m.span() for m in special.finditer(text)], np.int64).reshape(-1, 2)
+    whole = np.searchsorted(offsets, found[:, 0], "right") == np.searchsorted(offsets, found[:, 1], "left")
+    if whole.all():
+        return found.T if len(found) else offsets[:0]
+    rows = [(a, text[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]  # a match runs over the end of a row
+    found = np.array([(a + m.start(), a + m.end()) for a, t in rows for m in special.finditer(t)], np.int64).reshape(-1, 2)
+    return found.T if len(found) else offsets[:0]

@@ -8,13 +8,17 @@ then finds its pattern by its rank among the pieces of its length: ranks are cou
 within each batch when it is cut, and batches are added up per length by a window over
 their counts. No length, however common, meets in one task.
 
-Null or empty text has no ids and becomes the separator alone. Repeated rows are packed
-once for each row; ties among equal lengths follow batch order; an empty table gives none.
+Null or empty text has no ids and becomes the separator alone. A string of the tokenizer's added
+tokens in a text is that token, as in the library. Repeated rows are packed once for each row;
+ties among equal lengths follow batch order; an empty table gives none. A very long text is
+tokenised whole by one task and gives as many pieces as it needs. Only the key and the text are
+read, so other columns, whatever their names, make no difference.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,18 +91,21 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def __call__(self, words: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        return [(np.array(e.ids, np.uint32), b"") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [(np.array(e.ids, np.uint32), w.encode("utf-8", "surrogatepass")) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)]
 
 
-_WORKER: dict[str, _pretoken.WordTable] = {}
+_WORKER: dict[str, tuple[_pretoken.WordTable, re.Pattern | None]] = {}
 
 
-def _table(path: str) -> _pretoken.WordTable:
+def _table(path: str) -> tuple[_pretoken.WordTable, re.Pattern | None]:
+    """Words' ids, and the pattern of the tokenizer's added tokens, which it finds in a text before all else."""
     if path not in _WORKER:
-        _WORKER[path] = _pretoken.WordTable(_Encoder(path))
+        encoder = _Encoder(path)
+        _WORKER[path] = _pretoken.WordTable(encoder), encoder.added
     return _WORKER[path]
 
 
@@ -112,7 +119,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SIZE, key: str = "doc_id",
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo, ids, at, _, _ in _pretoken.encoded(batch.column(1), _table(tokenizer)):
+            for lo, ids, at, _, _ in _pretoken.encoded(batch.column(1), *_table(tokenizer)):
                 count = np.diff(at) + 1
                 pieces = -(-count // size)
                 doc = np.repeat(np.arange(len(count)), pieces)
