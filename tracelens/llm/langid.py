@@ -45,14 +45,13 @@ UNKNOWN = "und"
 
 @functools.cache
 def _fold() -> np.ndarray:
-    """Code point to lower case; what isn't a letter becomes a blank."""
-    table = np.full(0x110000, 32, np.uint32)
-    for c in range(0x110000):
-        s = chr(c)
-        if unicodedata.category(s)[0] == "L":
-            low = s.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+    """Code point to lower case; what isn't a letter becomes a blank. All code points are taken as one text."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    points[0xD800:0xE000] = 32
+    text = points.tobytes().decode("utf-32-le")
+    letter = np.fromiter((unicodedata.category(c)[0] == "L" for c in text), bool, len(text))
+    low = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in text), np.uint32, len(text))
+    return np.where(letter, low, np.uint32(32))
 
 
 @dataclass
@@ -117,6 +116,7 @@ class _Lookup:
             first[slot[::-1]] = np.arange(len(g) - 1, -1, -1, dtype=np.int32)
             clash = np.flatnonzero(first[slot] != np.arange(len(g)))
             self.tables.append((g, first, np.sort(g[clash])))
+        self.known = np.ascontiguousarray((model.held >= 1).T) if model.held is not None else None
 
     def slot(self, code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -143,14 +143,19 @@ class _Lookup:
         return (self.model.held[self.columns(self.model.symbols[codes])] >= need).sum(axis=0) / max(total, 1), total
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), int(self.base[-1])), np.float32)
-        for i, t in enumerate(texts):
-            out[i, self.columns(self.model.symbols[_codes(t)])] = 1
+        return self.presence([self.columns(self.model.symbols[_codes(t)]) for t in texts])
+
+    def presence(self, found: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(found), int(self.base[-1])), np.float32)
+        for i, columns in enumerate(found):
+            out[i, columns] = 1
         return out
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Normalised kernel values of texts against landmarks."""
-        x = self.rows(texts)
+        return self.values(self.rows(texts))
+
+    def values(self, x: np.ndarray) -> np.ndarray:
         norm = np.sqrt(x.sum(axis=1, keepdims=True))
         return (x @ self.model.presence) / np.maximum(norm * self.model.norms, 1e-9)
 
@@ -207,17 +212,19 @@ def _judged(model: Model, look: _Lookup, texts: list[str | None], evidence: bool
     """Languages, scores, and with ``evidence`` whether enough of the text's n-grams are known in that language."""
     lang, score, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     # any letter at all: a fold that leaves something besides blanks
-    some = [i for i, t in enumerate(texts) if t and np.any(_codes(t) != 32)]
+    codes = {i: c for i, t in enumerate(texts) if t and np.any((c := _codes(t)) != 32)}
+    some = list(codes)
     for k in range(0, len(some) if model.langs else 0, BATCH):
         part = some[k : k + BATCH]
-        out = look.kernel([texts[i] for i in part]) @ model.fold
+        found = [look.columns(model.symbols[codes[i]]) for i in part]
+        out = look.values(look.presence(found)) @ model.fold
         best = out.argmax(axis=1)
-        for i, b, o in zip(part, best, out, strict=True):
+        for i, b, o, columns in zip(part, best, out, found, strict=True):
             lang[i] = model.langs[b]
             score[i] = min(1.0, max(0.0, (float(o[b]) + 1) / 2))
             if evidence:
-                share, count = look.shares(texts[i])
-                known[i] = share[b] >= model.bound(b, count)
+                count = sum(max(0, len(codes[i]) - n) for n in range(MAX_N))
+                known[i] = np.count_nonzero(look.known[b][columns]) / max(count, 1) >= model.bound(b, count)
     return lang, score, known
 
 
