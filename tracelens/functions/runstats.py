@@ -63,3 +63,33 @@ def report(state: str = "state", ddof: int = 1) -> list[Column]:
         F.when(flat, 0.0).otherwise(f("n") * f("m4") / (f("m2") * f("m2")) - 3),
     )
     return [v.alias(n) for n, v in zip(FIELDS, values, strict=True)]
+
+
+def static_mean(x: str, ddof: float = 0) -> Column:
+    """The sum over the count less ``ddof``; 0 without values."""
+    return F.coalesce(F.sum(x) / F.nullif(F.count(x) - F.lit(float(ddof)), F.lit(0.0)), F.lit(0.0))
+
+
+def static_std(df: DataFrame, keys: list[str], x: str, ddof: float = 0) -> DataFrame:
+    """keys, mean, std: deviations from :func:`static_mean`, over the same denominator; 0 where that isn't positive.
+
+    Sums around the true mean c give those around m: sum (x - m)**2 = sum (x - c)**2 + n (c - m)**2.
+    """
+    d, m = F.col("n") - F.lit(float(ddof)), F.col("mean")
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("__c"), F.var_pop(x).alias("__v"), static_mean(x, ddof).alias("mean"))
+    square = F.col("n") * (F.col("__v") + (F.col("__c") - m) * (F.col("__c") - m))
+    return out.select(*keys, "mean", F.when((F.col("n") > 0) & (d > 0), F.sqrt(F.abs(square / d))).otherwise(0.0).alias("std"))
+
+
+#: Relative tolerances of :func:`alike`, for extremes and sums, and for shape.
+CLOSE, SHAPE_CLOSE = 1e-6, 1e-3
+
+
+def alike(a: str, b: str, tolerance: float | None = CLOSE) -> Column:
+    """Whether two structs of figures are equal: exactly without a tolerance, else relative to the greater, skewness and kurtosis more loosely."""
+    out = F.col(f"{a}.count") == F.col(f"{b}.count")
+    for n in FIELDS[1:]:
+        x, y = F.col(f"{a}.{n}"), F.col(f"{b}.{n}")
+        near = tolerance if tolerance is None or n not in ("skewness", "kurtosis") else max(tolerance, SHAPE_CLOSE)
+        out &= x.eqNullSafe(y) if near is None else x.eqNullSafe(y) | (F.abs(x - y) <= near * F.greatest(F.abs(x), F.abs(y)))
+    return out

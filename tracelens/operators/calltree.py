@@ -1,16 +1,25 @@
-"""Call trees from event streams, with window functions over each thread.
-
-``executions`` pairs entries and exits by their nesting depth; threads whose events don't
-nest take the sequential path in ``executions_strict``, which keeps the stack rules for
-malformed input (an exit that doesn't match leaves the stack as it is).
+"""Call trees from event streams.
+
+``executions`` streams through each thread's events in order: one shuffle by thread, one sort
+that can spill, then Arrow batches in which entries meet their exits by nesting depth in array
+operations. Only calls that are open at a batch's end are carried to the next, so a thread of
+any length takes the memory of a batch and of its deepest stack. A thread's events that don't
+nest take a plain stack, which keeps the rules for malformed input (an exit that doesn't match
+leaves the stack as it is and is an error).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+
+from tracelens import session
 
 THREAD = ["pid", "rid", "tid"]
 
@@ -20,8 +29,13 @@ def _order(extra: list[str] | None = None):
 
 
 def merged(func: DataFrame, comm: DataFrame, counters: DataFrame) -> DataFrame:
-    """One ordered stream per thread. At equal times entries come before, exits after, messages and counters."""
-    f = func.select(*THREAD, "ts", "idx", "fid", "kind", F.when(F.col("kind") == "ENTRY", 0).otherwise(3).alias("prio"))
+    """One ordered stream per thread: ``seq`` by time.
+
+    Function events of one time keep their own order (idx). Messages, then counters, of that time come
+    before the first exit there is at it, so that the call which ends takes them, else after its entries.
+    """
+    ends = F.max((F.col("kind") == "EXIT").cast("int")).over(W.partitionBy(*THREAD, "ts").orderBy("idx"))
+    f = func.select(*THREAD, "ts", "idx", "fid", "kind").withColumn("prio", F.when(ends == 0, 0).otherwise(3))
     m = comm.select(*THREAD, "ts", "idx", "kind", "tag", "partner", "bytes", F.lit(1).alias("prio"))
     c = counters.select(*THREAD, "ts", "idx", F.lit("COUNT").alias("kind"), "counter_id", "value", F.lit(2).alias("prio"))
     both = f.unionByName(m, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
@@ -34,25 +48,202 @@ def order_violations(events: DataFrame, order: str = "idx") -> DataFrame:
     return events.withColumn("before", F.lag("ts").over(w)).where("ts < before")
 
 
-def executions(events: DataFrame) -> DataFrame:
-    """Executions of well-nested events (kind, fid, ts, seq): id seq, entry, exit (0 while open), runtime, exclusive, parent, n_children, depth."""
-    step = F.when(F.col("kind") == "ENTRY", 1).otherwise(-1)
-    level = events.where(F.col("kind").isin("ENTRY", "EXIT")).withColumn("after", F.sum(step).over(_order().rowsBetween(W.unboundedPreceding, 0)))
-    level = level.withColumn("depth", F.when(F.col("kind") == "ENTRY", F.col("after")).otherwise(F.col("after") + 1))
-    w = _order(["depth"])
-    calls = level.withColumn("exit", F.lead("ts").over(w)).withColumn("exit_seq", F.lead("seq").over(w)).where("kind = 'ENTRY'")
-    calls = calls.select(*THREAD, "fid", "seq", F.col("ts").alias("entry"), F.coalesce("exit", F.lit(0)).alias("exit"), "exit_seq", "depth")
-    calls = calls.withColumn("runtime", F.when(F.col("exit_seq").isNull(), F.lit(0)).otherwise(F.col("exit") - F.col("entry")))
-    # a parent is the latest call of the depth above: each call appears as itself and as a child
-    roles = calls.select(*THREAD, F.col("depth").alias("key"), "seq", F.col("seq").alias("own"), F.lit(None).cast("long").alias("child")).unionByName(
-        calls.select(*THREAD, (F.col("depth") - 1).alias("key"), "seq", F.lit(None).cast("int").alias("own"), F.col("seq").cast("long").alias("child"))
-    )
-    w = W.partitionBy(*THREAD, "key").orderBy("seq")
-    parents = roles.withColumn("parent", F.last("own", ignorenulls=True).over(w)).where("child IS NOT NULL").select(*THREAD, F.col("child").cast("int").alias("seq"), "parent")
-    calls = calls.join(parents, [*THREAD, "seq"])
-    inner = calls.where("parent IS NOT NULL").groupBy(*THREAD, F.col("parent").alias("seq")).agg(F.sum("runtime").alias("__in"), F.count("*").alias("n_children"))
-    calls = calls.join(inner, [*THREAD, "seq"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    return calls.withColumn("exclusive", F.col("runtime") - F.coalesce("__in", F.lit(0))).drop("__in")
+#: What an exit without its call is.
+NO_CALL, WRONG_CALL = "EmptyCallStack", "CallStackViolation"
+ENTRY, EXIT = 0, 1
+
+
+class _Calls:
+    """Calls of threads that come one after another, by batches of their events."""
+
+    def __init__(self, fid: pa.DataType, seq: pa.DataType, with_stack: bool):
+        self.fid, self.seq, self.with_stack = fid, seq, with_stack
+        self.names: dict = {}
+        self.values: list = []
+        self.thread: tuple | None = None
+        self.open: list[list] = []  # fid, seq, entry, inner time, children
+
+    def codes(self, column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        d = column.dictionary_encode()
+        own = []
+        for v in d.dictionary.to_pylist():
+            if v not in self.names:
+                self.names[v] = len(self.values)
+                self.values.append(v)
+            own.append(self.names[v])
+        return np.array(own, np.int64)[d.indices.to_numpy(zero_copy_only=False)] if own else np.zeros(0, np.int64)
+
+    def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        kind = np.asarray(batch.column(3).to_numpy(zero_copy_only=False) == "EXIT").astype(np.int8)
+        fid, ts, seq = self.codes(batch.column(4)), batch.column(5).to_numpy(), batch.column(6).to_numpy().astype(np.int64)
+        edge = np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1]))
+        first = np.flatnonzero(edge)
+        heads = [tuple(int(k[i]) for k in keys) for i in first]
+        if self.thread != heads[0]:
+            yield from self.end()
+        self.thread = heads[-1]
+        # calls that are open come first, as entries of the first thread
+        held, self.open = self.open, []
+        n = len(held)
+        number = np.cumsum(edge) - 1
+        own = lambda i: np.array([h[i] for h in held], np.int64)
+        kind, number = np.append(np.zeros(n, np.int8), kind), np.append(np.zeros(n, np.int64), number)
+        fid, seq, ts = np.append(own(0), fid), np.append(own(1), seq), np.append(own(2), ts)
+        inner, children = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
+        inner[:n], children[:n] = own(3), own(4)
+        start = np.searchsorted(number, np.arange(len(heads)))
+        after = np.cumsum(1 - 2 * kind.astype(np.int64))
+        after -= np.append(0, after)[start][number]
+        depth = after + kind
+        at = np.arange(len(kind))
+        order = np.lexsort((at, depth, number))
+        lead = order[1:], order[:-1]
+        pair = (number[lead[0]] == number[lead[1]]) & (depth[lead[0]] == depth[lead[1]]) & (kind[lead[1]] == ENTRY) & (kind[lead[0]] == EXIT)
+        exit_ = np.full(len(kind), -1)
+        exit_[lead[1][pair]] = lead[0][pair]
+        closed = exit_[exit_ >= 0]
+        call = np.flatnonzero(exit_ >= 0)
+        good = np.zeros(len(kind), bool)
+        good[closed] = (fid[call] == fid[closed]) & (ts[closed] >= ts[call])
+        broken = np.unique(number[(kind == EXIT) & ~good])  # threads with an exit that has no call, or not its own
+        bad = np.isin(number, broken)
+        parent = np.full(len(kind), -1)
+        entries = order[kind[order] == ENTRY]
+        span = np.int64(depth.max(initial=0) + 2)
+        key = lambda i, d: (number[i] * span + d) * len(kind) + i
+        if len(entries):
+            here = key(entries, np.maximum(depth[entries], 0))
+            before = np.searchsorted(here, key(entries, np.maximum(depth[entries] - 1, 0))) - 1
+            up = entries[np.maximum(before, 0)]
+            ok = (before >= 0) & (number[up] == number[entries]) & (depth[up] == depth[entries] - 1)
+            parent[entries[ok]] = up[ok]
+        ended = call[~bad[call]]
+        runtime = np.zeros(len(kind), np.int64)
+        runtime[ended] = ts[exit_[ended]] - ts[ended]
+        inside = ended[parent[ended] >= 0]
+        np.add.at(inner, parent[inside], runtime[inside])
+        new = np.flatnonzero((kind == ENTRY) & (at >= n) & ~bad & (parent >= 0))
+        np.add.at(children, parent[new], 1)
+        open_ = np.flatnonzero((kind == ENTRY) & (exit_ < 0) & ~bad)
+        last = number[open_] == len(heads) - 1
+        if broken.size == 0 or broken[-1] != len(heads) - 1:
+            self.open = [[int(x[i]) for x in (fid, seq, ts, inner, children)] for i in open_[last]]
+            rows = np.sort(np.append(ended, open_[~last]))
+        else:
+            rows = np.sort(np.append(ended, open_))
+        if len(rows):
+            done = exit_[rows] >= 0
+            yield self.table(
+                [np.array([h[k] for h in heads], np.int64)[number[rows]] for k in range(3)], fid[rows], seq[rows], ts[rows], np.where(done, ts[exit_[rows]], 0), np.where(done, seq[exit_[rows]], -1), depth[rows], runtime[rows],
+                np.where(done, runtime[rows] - inner[rows], 0), np.where(parent[rows] >= 0, seq[parent[rows]], -1), children[rows], self.paths(rows, parent, depth, fid), None,
+            )
+        for k in broken:
+            own_ = np.flatnonzero(number == k)
+            yield from self.stack(heads[k], [held[i] if k == 0 and i < n else None for i in range(len(own_))], kind[own_], fid[own_], ts[own_], seq[own_], k == len(heads) - 1)
+
+    def paths(self, rows: np.ndarray, parent: np.ndarray, depth: np.ndarray, fid: np.ndarray) -> pa.Array | None:
+        """Functions from each call up to its root."""
+        if not self.with_stack:
+            return None
+        size = depth[rows]
+        offset = np.append(0, np.cumsum(size))
+        out, at = np.empty(offset[-1], np.int64), rows.copy()
+        for level in range(int(size.max())):
+            more = np.flatnonzero(size > level)
+            out[offset[more] + level] = fid[at[more]]
+            at[more] = parent[at[more]]
+        return pa.ListArray.from_arrays(pa.array(offset, pa.int32()), self.named(out))
+
+    def named(self, codes: np.ndarray) -> pa.Array:
+        return pa.array(self.values, self.fid).take(pa.array(codes)) if len(codes) else pa.array([], self.fid)
+
+    def stack(self, thread: tuple, held: list, kind, fid, ts, seq, last: bool) -> Iterator[pa.RecordBatch]:
+        """The sequential rules, for the events of a thread that don't nest."""
+        open_, rows = [], []
+        for i in range(len(kind)):
+            if kind[i] == ENTRY:
+                if held[i] is not None:
+                    open_.append(list(held[i]))
+                    continue
+                if open_:
+                    open_[-1][4] += 1
+                open_.append([int(fid[i]), int(seq[i]), int(ts[i]), 0, 0])
+            elif not open_ or open_[-1][0] != fid[i] or ts[i] < open_[-1][2]:
+                rows.append((int(fid[i]), int(seq[i]), int(ts[i]), int(ts[i]), -1, 0, 0, 0, -1, 0, [int(fid[i])], WRONG_CALL if open_ else NO_CALL))
+            else:
+                c = open_.pop()
+                runtime = int(ts[i]) - c[2]
+                rows.append((c[0], c[1], c[2], int(ts[i]), int(seq[i]), len(open_) + 1, runtime, runtime - c[3], open_[-1][1] if open_ else -1, c[4], [c[0], *(o[0] for o in reversed(open_))], None))
+                if open_:
+                    open_[-1][3] += runtime
+        if last:
+            self.open = open_
+        else:
+            rows += self.unfinished(open_)
+        if rows:
+            yield self.rows(thread, rows)
+
+    @staticmethod
+    def unfinished(open_: list[list]) -> list[tuple]:
+        return [(c[0], c[1], c[2], 0, -1, i + 1, 0, 0, open_[i - 1][1] if i else -1, c[4], [o[0] for o in reversed(open_[: i + 1])], None) for i, c in enumerate(open_)]
+
+    def rows(self, thread: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True))
+        stack = None
+        if self.with_stack:
+            stack = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in c[10]])), pa.int32()), self.named(np.array([f for x in c[10] for f in x], np.int64)))
+        return self.table([np.full(len(rows), k, np.int64) for k in thread], *(np.array(x, np.int64) for x in c[:10]), stack, c[11])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """Calls that never end."""
+        if self.open:
+            yield self.rows(self.thread, self.unfinished(self.open))
+        self.open = []
+
+    def table(self, thread, fid, seq, entry, exit_, exit_seq, depth, runtime, exclusive, parent, children, stack, error) -> pa.RecordBatch:
+        some = lambda x, t: pa.array(x, pa.int64(), mask=x < 0).cast(t)
+        columns = [*(pa.array(k) for k in thread), self.named(fid), pa.array(seq).cast(self.seq), pa.array(entry), pa.array(exit_), some(exit_seq, self.seq), pa.array(depth, pa.int64()), pa.array(runtime), pa.array(exclusive), some(parent, self.seq), pa.array(children)]
+        names = [*THREAD, "fid", "seq", "entry", "exit", "exit_seq", "depth", "runtime", "exclusive", "parent", "n_children", "error"]
+        columns.append(pa.array(error, pa.string()) if error is not None else pa.nulls(len(fid), pa.string()))
+        if self.with_stack:
+            columns.append(stack)
+            names.append("stack")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def executions_strict(events: DataFrame, stack: bool = False) -> DataFrame:
+    """Executions (kind, fid, ts, seq): as :func:`executions`, and a row with an ``error`` for each exit without its call."""
+    session.ship(events.sparkSession)
+    types = dict((f.name, f.dataType) for f in events.schema.fields)
+    fid, seq = types["fid"], types["seq"]
+    wanted = events.where(F.col("kind").isin("ENTRY", "EXIT")).select(*(F.col(k).cast("long").alias(k) for k in THREAD), "kind", "fid", F.col("ts").cast("long").alias("ts"), "seq")
+    schema = StructType()
+    for name, kind in [*((k, LongType()) for k in THREAD), ("fid", fid), ("seq", seq), ("entry", LongType()), ("exit", LongType()), ("exit_seq", seq), ("depth", LongType()), ("runtime", LongType()), ("exclusive", LongType()), ("parent", seq), ("n_children", LongType()), ("error", StringType())]:
+        schema = schema.add(name, kind)
+    if stack:
+        schema = schema.add("stack", ArrayType(fid))
+    arrow = pa.int32() if isinstance(seq, IntegerType) else pa.int64()
+    fid_arrow = pa.string() if isinstance(fid, StringType) else pa.int32() if isinstance(fid, IntegerType) else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls = _Calls(fid_arrow, arrow, stack)
+        for batch in batches:
+            yield from calls.batch(batch)
+        yield from calls.end()
+
+    return wanted.repartition(*THREAD).sortWithinPartitions(*THREAD, "seq").mapInArrow(run, schema)
+
+
+def executions(events: DataFrame, stack: bool = False) -> DataFrame:
+    """Executions of events (kind, fid, ts, seq): id seq, entry, exit (0 while open), exit_seq, depth, runtime, exclusive, parent, n_children.
+
+    With ``stack`` also the functions from the call up to its root. Exits without their call are left out.
+    """
+    return executions_strict(events, stack).where("error IS NULL").drop("error")
 
 
 def nests(events: DataFrame) -> DataFrame:
@@ -65,55 +256,14 @@ def nests(events: DataFrame) -> DataFrame:
     return pair.groupBy(*THREAD).agg((~F.max(bad)).alias("nested"))
 
 
-_STRICT = "pid long, rid long, tid long, fid {fid}, seq int, entry long, exit long, runtime long, exclusive long, parent int, n_children int, error string"
-
-
-#: What an exit without its call is.
-NO_CALL, WRONG_CALL = "EmptyCallStack", "CallStackViolation"
-
-
-def _stack(g: pd.DataFrame) -> pd.DataFrame:
-    calls, stack, errors = {}, [], []
-    g = g.sort_values("seq")
-    for kind, fid, ts, seq in g[["kind", "fid", "ts", "seq"]].itertuples(index=False):
-        if kind == "ENTRY":
-            parent = stack[-1] if stack else None
-            if parent is not None:
-                calls[parent]["n_children"] += 1
-            calls[seq] = {"fid": fid, "seq": seq, "entry": ts, "exit": 0, "runtime": 0, "exclusive": 0, "parent": parent, "n_children": 0, "error": None, "inner": 0}
-            stack.append(seq)
-        elif not stack:
-            errors.append((fid, seq, ts, NO_CALL))
-        elif calls[stack[-1]]["fid"] != fid or ts < calls[stack[-1]]["entry"]:
-            errors.append((fid, seq, ts, WRONG_CALL))
-        else:
-            call = calls[stack.pop()]
-            call["exit"], call["runtime"] = ts, ts - call["entry"]
-            call["exclusive"] = call["runtime"] - call["inner"]
-            if stack:
-                calls[stack[-1]]["inner"] += call["runtime"]
-    rows = [{k: v for k, v in c.items() if k != "inner"} for c in calls.values()]
-    rows += [{"fid": f, "seq": s, "entry": t, "exit": t, "runtime": 0, "exclusive": 0, "parent": None, "n_children": 0, "error": e} for f, s, t, e in errors]
-    out = pd.DataFrame(rows, columns=["fid", "seq", "entry", "exit", "runtime", "exclusive", "parent", "n_children", "error"])
-    for k in THREAD:
-        out[k] = g[k].iloc[0]
-    out["parent"] = out["parent"].astype("Int32")
-    return out[[*THREAD, "fid", "seq", "entry", "exit", "runtime", "exclusive", "parent", "n_children", "error"]]
-
-
-def executions_strict(events: DataFrame) -> DataFrame:
-    """Executions by a stack for each thread; events that break it are rows with an error."""
-    wanted = events.where(F.col("kind").isin("ENTRY", "EXIT")).select(*THREAD, "kind", "fid", "ts", "seq")
-    return wanted.groupBy(*THREAD).applyInPandas(_stack, _STRICT.format(fid=dict(events.dtypes)["fid"]))
-
-
 def attached(points: DataFrame, calls: DataFrame, bucket: int = 1_000_000) -> DataFrame:
     """Each point (ts) with the innermost call [entry, exit] of its thread: adds ``call_seq``.
 
     Calls are dealt over time buckets that they touch, so that the join has equal keys; the
-    innermost is the one that exits first, and starts last among those.
+    innermost is the one whose exit comes first (by ``exit_seq``, else by time), and starts last among those.
     """
-    spans = calls.where("exit > 0").select(*THREAD, F.col("seq").alias("call_seq"), "entry", "exit")
+    last = F.col("exit_seq") if "exit_seq" in calls.columns else F.col("exit")
+    spans = calls.where("exit > 0").select(*THREAD, F.col("seq").alias("call_seq"), "entry", "exit", last.alias("__last"))
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("entry") / bucket), F.floor(F.col("exit") / bucket))))
     rest = [c for c in points.columns if c not in (*THREAD, "ts")]
     # equal rows are told apart by number, which stays the same whenever the plan is run again
@@ -122,22 +272,33 @@ def attached(points: DataFrame, calls: DataFrame, bucket: int = 1_000_000) -> Da
     on = [F.col(f"a.{k}") == F.col(f"s.{k}") for k in (*THREAD, "bucket")]
     hit = at.alias("a").join(spans.alias("s"), [*on, F.col("ts").between(F.col("entry"), F.col("exit"))], "left")
     own = [F.col(f"a.{c}").alias(c) for c in (*points.columns, "__k")]
-    return hit.groupBy(*own).agg(F.min_by("call_seq", F.struct("exit", -F.col("entry"), -F.col("call_seq"))).alias("call_seq")).drop("__k")
+    return hit.groupBy(*own).agg(F.min_by("call_seq", F.struct("__last", -F.col("entry"), -F.col("call_seq"))).alias("call_seq")).drop("__k")
+
 
+def in_window(points: DataFrame, windows: DataFrame, bucket: int = 1_000_000) -> DataFrame:
+    """Points of a window's thread with t0 <= ts <= t1, for every window that holds them; a window that ends before it begins is an error.
+
+    Windows are dealt over the time buckets that they touch, so the join has equal keys.
+    """
+    last = F.when(F.col("t1") < F.col("t0"), F.raise_error(F.lit("a window ends before it begins"))).otherwise(F.col("t1"))
+    spans = windows.withColumn("t1", last.cast("long")).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.col("t1") / bucket))))
+    return spans.join(points.withColumn("__bucket", F.floor(F.col("ts") / bucket)), [*THREAD, "__bucket"]).where("ts BETWEEN t0 AND t1").drop("__bucket")
 
-def in_window(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """Points of a window's thread with t0 <= ts <= t1."""
-    return windows.join(points, THREAD).where("ts BETWEEN t0 AND t1")
 
+def stacks(calls: DataFrame) -> DataFrame:
+    """``stack``: function ids from each call up to its root, whatever the depth.
 
-def stacks(calls: DataFrame, limit: int = 200) -> DataFrame:
-    """``stack``: function ids from each call up to its root, by joins that climb one level at a time."""
-    up = calls.select(*THREAD, F.col("seq").alias("__up"), F.col("parent").alias("__next"), F.col("fid").alias("__fid"))
-    out = calls.select(*THREAD, "seq", F.array("fid").alias("stack"), F.col("parent").alias("__up"))
-    deepest = calls.agg(F.max("depth")).first()[0] or 1
-    for _ in range(min(deepest, limit) - 1):
-        out = out.join(up, [*THREAD, "__up"], "left").select(*THREAD, "seq", F.when(F.col("__fid").isNull(), F.col("stack")).otherwise(F.concat("stack", F.array("__fid"))).alias("stack"), F.col("__next").alias("__up"))
-    return out.drop("__up")
+    For calls that were made without it: each climb doubles the levels that are known (a call's path and
+    that of the call above its top), so the joins are as many as the depth has bits. A parent that isn't
+    there ends the path.
+    """
+    own = calls.select(*THREAD, "seq", F.array("fid").alias("stack"), F.col("parent").alias("__up"))
+    while True:
+        own = session.materialize(own, "stacks")
+        if own.where("__up IS NOT NULL").isEmpty():
+            return own.drop("__up")
+        above = own.select(*THREAD, F.col("seq").alias("__up"), F.col("stack").alias("__more"), F.col("__up").alias("__next"))
+        own = own.join(above, [*THREAD, "__up"], "left").select(*THREAD, "seq", F.when(F.col("__more").isNull(), F.col("stack")).otherwise(F.concat("stack", "__more")).alias("stack"), F.col("__next").alias("__up"))
 
 
 def neighbours(calls: DataFrame, n: int = 10) -> DataFrame:
@@ -146,21 +307,97 @@ def neighbours(calls: DataFrame, n: int = 10) -> DataFrame:
     return calls.withColumn("window", F.collect_list(F.struct("seq", "fid", "entry", "exit")).over(w))
 
 
-def correlated(pairs: DataFrame, value: str = "value") -> DataFrame:
-    """Calls that carry the same correlation value, first with second, third with fourth: (value, a, b)."""
-    w = W.partitionBy(value).orderBy("seq")
-    k = pairs.withColumn("k", F.row_number().over(w))
-    odd = k.where("k % 2 = 1").select(value, F.col("seq").alias("a"), ((F.col("k") + 1) / 2).cast("int").alias("pair"))
-    even = k.where("k % 2 = 0").select(value, F.col("seq").alias("b"), (F.col("k") / 2).cast("int").alias("pair"))
-    return odd.join(even, [value, "pair"]).drop("pair")
+#: Fixed value: the counter that holds them.
+CORRELATION = "Correlation ID"
+
+
+def correlation_ids(calls: DataFrame, counters: DataFrame, names: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """Correlation ids of calls: their attached counters of that name, without those of functions whose names are in ``ignored`` (name)."""
+    dim = names.where(F.col("name") == CORRELATION).select(F.col("id").alias("counter_id"))
+    own = counters.join(F.broadcast(dim), "counter_id", "left_semi").select(*THREAD, F.col("call_seq").alias("seq"), "value")
+    out = own.join(calls.select(*THREAD, "seq", "fid", "exit_seq"), [*THREAD, "seq"])
+    return out if ignored is None else out.join(ignored.select(F.col("name").alias("fid")), "fid", "left_anti")
+
 
+def correlated(pairs: DataFrame, value: str = "value", order: str = "seq", keys: tuple[str, ...] = ("pid", "rid")) -> DataFrame:
+    """Calls of a rank that carry the same correlation value, first with second, third with fourth: (keys, value, a, b), each (tid, seq).
 
-def unmatched(pairs: DataFrame, value: str = "value") -> DataFrame:
+    Calls meet in the order in which they end (``order``).
+    """
+    k = [c for c in keys if c in pairs.columns]
+    w = W.partitionBy(*k, value).orderBy(order, *(["tid"] if "tid" in pairs.columns else []), "seq")
+    one = F.struct("tid", "seq") if "tid" in pairs.columns else F.struct("seq")
+    both = pairs.withColumn("__k", F.row_number().over(w)).withColumn("a", one).withColumn("b", F.lead(one).over(w))
+    return both.where("__k % 2 = 1 AND b IS NOT NULL").select(*k, value, "a", "b")
+
+
+def unmatched(pairs: DataFrame, value: str = "value", keys: tuple[str, ...] = ("pid", "rid")) -> DataFrame:
     """Correlation values that are left over."""
-    return pairs.groupBy(value).agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return pairs.groupBy(*(c for c in keys if c in pairs.columns), value).agg(F.count("*").alias("n")).where("n % 2 = 1")
+
+
+def several_ids(pairs: DataFrame, threads: DataFrame) -> DataFrame:
+    """Accelerator calls with more than one correlation id, which is an error: (thread, seq, n)."""
+    return pairs.join(threads.select(*THREAD), THREAD, "left_semi").groupBy(*THREAD, "seq").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def registered(calls: DataFrame, new: DataFrame) -> DataFrame:
+    """Calls with ready-made ones added; one whose id is taken is an error."""
+    taken = calls.select(*THREAD, "seq").withColumn("__taken", F.lit(True))
+    both = new.join(taken, [*THREAD, "seq"], "left")
+    own = [F.when(F.col("__taken"), F.raise_error(F.lit("a call with this id is there already"))).otherwise(F.col(c)).alias(c) if c == "seq" else F.col(c) for c in new.columns]
+    return calls.unionByName(both.select(*own), allowMissingColumns=True)
+
+
+def call(calls: DataFrame, pid: int, rid: int, tid: int, seq: int):
+    """One call by its id; that there is none is an error."""
+    found = calls.where((F.col("pid") == pid) & (F.col("rid") == rid) & (F.col("tid") == tid) & (F.col("seq") == seq)).take(1)
+    if not found:
+        raise LookupError(f"no call {event_id_text(pid, rid, tid, seq)}")
+    return found[0]
+
+
+def event_id_text(*parts: int) -> str:
+    return ":".join(map(str, parts))
+
+
+def list_sizes(calls: DataFrame) -> DataFrame:
+    """Calls of each thread, and how many of them are open."""
+    return calls.groupBy(*THREAD).agg(F.count("*").alias("calls"), F.sum((F.col("exit") == 0).cast("long")).alias("open"))
 
 
 def retained(calls: DataFrame, n: int) -> DataFrame:
     """The last n calls of each thread."""
     w = W.partitionBy(*THREAD).orderBy(F.desc("seq"))
     return calls.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+def retention(calls: DataFrame, keep: int, unmatched: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
+    """``kept``: why a call stays when state is cleared, or null if it goes.
+
+    The last ``keep`` calls of a thread stay (window), and calls that are open (incomplete). A call without a label holds itself
+    and the calls around it (unlabelled, protected); so does one whose correlation id waits for its partner (``unmatched``: thread,
+    seq), and the partner (``partners``: thread, seq, of the call's ``other_tid``, ``other_seq``) of a call without a label.
+    """
+    own = [*THREAD, "seq"]
+    pin = F.col("label") == 0
+    if unmatched is not None:
+        calls = calls.join(unmatched.select(*own).distinct().withColumn("__wait", F.lit(True)), own, "left")
+        pin |= F.coalesce("__wait", F.lit(False))
+    if partners is not None:
+        open_ = calls.where("label = 0").select("pid", "rid", F.col("tid").alias("other_tid"), F.col("seq").alias("other_seq"))
+        held = partners.join(open_, ["pid", "rid", "other_tid", "other_seq"], "left_semi").select(*own).distinct().withColumn("__other", F.lit(True))
+        calls = calls.join(held, own, "left")
+        pin |= F.coalesce("__other", F.lit(False))
+    ahead = W.partitionBy(*THREAD).orderBy("seq").rowsBetween(0, W.unboundedFollowing)
+    rank = F.row_number().over(W.partitionBy(*THREAD).orderBy(F.desc("seq")))
+    out = calls.withColumn("__pin", F.first(F.when(pin, F.col("seq")), True).over(ahead)).withColumn("__rank", rank)
+    held = F.col("__pin").isNotNull() & (F.col("exit_seq").isNull() | (F.col("__pin") < F.col("exit_seq")))
+    why = F.when(F.col("__rank") <= keep, "window").when(F.col("exit") == 0, "incomplete").when(F.col("label") == 0, "unlabelled").when(held, "protected")
+    return out.withColumn("kept", why).drop("__pin", "__rank", "__wait", "__other")
+
+
+def retention_report(kept: DataFrame) -> DataFrame:
+    """How many calls go, and how many stay for which reason."""
+    n = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return kept.agg(n(F.col("kept").isNull(), "n_purged"), *(n(F.coalesce(F.col("kept") == k, F.lit(False)), f"n_kept_{k}") for k in ("protected", "incomplete", "window", "unlabelled")))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelens.functions import runstats as R
+
 MAIN, GLOBAL = ("anomalies", "metadata", "normalexecs"), ("func_stats", "counter_stats", "ad_model")
 
 
@@ -91,9 +93,13 @@ def script(spark: SparkSession, root: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def keys(df: DataFrame, kinds=("bigint", "int", "double", "string", "boolean")) -> list[str]:
-    """Top-level keys that hold plain values."""
-    return [n for n, t in df.dtypes if t in kinds]
+def keys(df: DataFrame, kinds=("bigint", "int", "double", "string", "boolean"), lists: bool = False) -> list[str]:
+    """Top-level keys that hold plain values; with ``lists`` also those that hold lists of documents, as key[field]."""
+    out = [n for n, t in df.dtypes if t in kinds]
+    for f in df.schema.fields if lists else ():
+        inner = getattr(f.dataType, "elementType", None)
+        out += [f"{f.name}[{g}]" for g in getattr(inner, "names", ())]
+    return out
 
 
 def amend(df: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
@@ -120,10 +126,31 @@ def ranking(stats: DataFrame, by: str, n: int = 10, ascending: bool = False, col
     return out.select(*columns) if columns else out
 
 
+def function_ranking(stats: DataFrame) -> DataFrame:
+    """Columns of the ranking of functions from (pid, fid, name, exclusive, inclusive, count, severity): times in s, their means in ms."""
+    return stats.select(
+        "pid", "fid", "name", F.col("count.accumulate").cast("long").alias("anom_count"), F.col("severity.accumulate").alias("accum_sev"), F.col("severity.mean").alias("avg_sev"),
+        F.col("exclusive.count").alias("exec_count"), (F.col("count.accumulate") / F.col("exclusive.count")).alias("anom_freq"),
+        (F.col("exclusive.accumulate") / 1e6).alias("tot_runtime_excl"), (F.col("inclusive.accumulate") / 1e6).alias("tot_runtime_incl"),
+        (F.col("exclusive.mean") / 1e3).alias("avg_runtime_excl"), (F.col("inclusive.mean") / 1e3).alias("avg_runtime_incl"),
+    )
+
+
+def counter_ranking(stats: DataFrame) -> DataFrame:
+    """Columns of the ranking of counters from (pid, counter, stats)."""
+    return stats.select("pid", "counter", F.col("stats.count").alias("count"), F.col("stats.minimum").alias("min"), F.col("stats.maximum").alias("max"), F.col("stats.mean").alias("avg"))
+
+
 def between_runs(a: DataFrame, b: DataFrame, keys_: list[str], severity: str, n: int = 10) -> DataFrame:
-    """Functions of two runs side by side, by the greater severity of both."""
+    """Functions of two runs side by side, by the greater severity of both.
+
+    With columns count, calls and total also the share of calls that are anomalies (percent) and of time that is spent in them.
+    """
     left, right = (d.select(*keys_, *(F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in keys_)) for d, s in ((a, "a"), (b, "b")))
     both = left.join(right, keys_, "full_outer").withColumn("greatest", F.greatest(f"{severity}_a", f"{severity}_b"))
+    if {"count", "calls", "total"} <= set(a.columns):
+        for s in "ab":
+            both = both.withColumn(f"frequency_{s}", F.col(f"count_{s}") / F.col(f"calls_{s}") * 100).withColumn(f"relative_{s}", F.col(f"{severity}_{s}") / F.col(f"total_{s}"))
     return both.orderBy(F.desc_nulls_last("greatest"), *keys_).limit(n)
 
 
@@ -134,11 +161,54 @@ def validated(records: DataFrame, reported: DataFrame, keys_: list[str]) -> Data
     return both.where("stored <> reported")
 
 
-def pruned_stats(records: DataFrame) -> DataFrame:
-    """Per function what survives: steps, span, scores, severities, and counts per rank and step."""
-    each = records.groupBy("fid", "rid", "step").agg(F.count("*").alias("k")).groupBy("fid").agg(F.avg("k").alias("count_mean"), F.max("k").alias("count_max"))
-    rest = records.groupBy("fid").agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.min("entry").alias("min_ts"), F.max("exit").alias("max_ts"), F.sum("score").alias("score"), F.sum("exclusive").alias("severity"), F.count("*").alias("n"))
-    return rest.join(each, "fid")
+def pruned_stats(records: DataFrame, func: str = "func") -> DataFrame:
+    """Anomaly metrics of each function from the records that survive: steps, span, run statistics of scores, of severities, and of the counts per rank and step."""
+    figures = lambda x, name: F.struct(*R.aggregates(x)).alias(name)
+    each = records.groupBy(func, "rid", "step").agg(F.count("*").alias("k")).groupBy(func).agg(figures("k", "count"))
+    rest = records.groupBy(func).agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.min("entry").alias("min_ts"), F.max("exit").alias("max_ts"), figures("score", "score"), figures("exclusive", "severity"))
+    return rest.join(each, func)
+
+
+def with_pruned_stats(func_stats: DataFrame, records: DataFrame, func: str = "func") -> DataFrame:
+    """Function statistics whose anomaly_metrics are those of the records that survive a prune; null where none does."""
+    new = pruned_stats(records, func)
+    new = new.select(func, F.struct(*[c for c in new.columns if c != func]).alias("anomaly_metrics"))
+    return func_stats.drop("anomaly_metrics").join(new, func, "left")
+
+
+def amend_stored(spark: SparkSession, root: str, collection: str, updates: DataFrame, key: str = "id") -> None:
+    """Writes documents back with the values of ``updates``: into a new folder first, which then replaces the old one."""
+    path = f"{root}/{collection}"
+    amend(load(spark, root, collection), updates, key).write.mode("overwrite").parquet(f"{path}.new")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path(path), True)
+    if not fs.rename(fs_path(f"{path}.new"), fs_path(path)):
+        raise OSError(f"{path}.new can't take the place of {path}")
+
+
+def restore(spark: SparkSession, json_root: str, root: str, collection: str, shards: int = 1, schema: str | None = None) -> None:
+    """Files the JSON documents of a dump by rank again, in as many shards as are wanted."""
+    reader = spark.read.option("basePath", f"{json_root}/{collection}")
+    docs = (reader.schema(schema) if schema else reader).json(f"{json_root}/{collection}")
+    append(docs, root, collection, shards)
+
+
+def assigned(df: DataFrame, shards_of: DataFrame, rank: str = "rid") -> DataFrame:
+    """``shard`` of each document by a table (rank, shard); a rank that isn't listed is an error."""
+    both = df.join(shards_of.withColumnRenamed("rank", "__rank"), F.col(rank) == F.col("__rank"), "left").drop("__rank")
+    return both.withColumn("shard", F.when(F.col("shard").isNull(), F.raise_error(F.concat(F.lit("no shard for rank "), F.col(rank).cast("string")))).otherwise(F.col("shard")))
+
+
+def nested(df: DataFrame, path: str) -> Column:
+    """The value at a dotted path of nested columns, or null where the schema has no such field."""
+    kind = df.schema
+    for part in path.split("."):
+        kind = getattr(kind, "elementType", kind)
+        if not hasattr(kind, "names") or part not in kind.names:
+            return F.lit(None)
+        kind = kind[part].dataType
+    return F.col(path)
 
 
 def normalised(records: DataFrame) -> dict[str, DataFrame]:

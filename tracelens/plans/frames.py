@@ -76,3 +76,56 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = f"""pt AS (SELECT li.pid, li.rid, li.tid, li.entry + 5 AS ts, li.fid FROM li
   UNION ALL SELECT pid, rid, tid, entry + 99500, fid FROM o)"""
+
+
+#: Of the nested calls: time of an order, and how much later each line begins than the one around it.
+DEEP, NEST = 1_000, 5
+
+
+def _thread(df: DataFrame) -> list:
+    return [F.lit(0).cast("long").alias("pid"), (F.col("o_custkey") % 4).alias("rid"), (F.col("o_custkey") % 509).alias("tid")]
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function events in which each line of an order is called by the line before it; three calls follow one another at equal times, the last of no length.
+
+    Events of one time are told apart by idx, which has their order in the thread.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    chain = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "l_returnflag"))).alias("c"))
+    both = o.join(chain, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("c", F.coalesce("c", F.array().cast(dict(chain.dtypes)["c"]))).withColumn("n", F.size("c"))
+    event = lambda kind, fid, ts, idx: F.struct(F.lit(kind).alias("kind"), fid.alias("fid"), (F.col("o_orderkey") * DEEP + ts).cast("long").alias("ts"), (F.col("o_orderkey") * 200 + idx).cast("long").alias("idx"))
+    n, name = F.col("n"), lambda x: F.lit(x)
+    order = [event("ENTRY", F.col("o_orderpriority"), F.lit(0), F.lit(0)), event("EXIT", F.col("o_orderpriority"), F.lit(900), 2 * n + 7)]
+    row = [e for k, (fid, a, b) in enumerate((("first", 600, 700), ("second", 700, 800), ("third", 800, 800))) for e in (event("ENTRY", name(fid), F.lit(a), 2 * n + 1 + 2 * k), event("EXIT", name(fid), F.lit(b), 2 * n + 2 + 2 * k))]
+    down = F.transform("c", lambda x: event("ENTRY", x["l_returnflag"], x["place"] * NEST, x["place"]))
+    up = F.transform("c", lambda x: event("EXIT", x["l_returnflag"], 500 - x["place"] * NEST, 2 * F.col("n") + 1 - x["place"]))
+    return both.select(*_thread(both), F.explode(F.concat(F.array(*order, *row), down, up)).alias("e")).select("pid", "rid", "tid", "e.*")
+
+
+def nested_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages and counters of the nested calls, some at the times of entries and exits."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    at = lambda times, extra: o.select(*_thread(o), F.posexplode(F.array(*map(F.lit, times))).alias("k", "t"), "o_orderkey").select("pid", "rid", "tid", (F.col("o_orderkey") * DEEP + F.col("t")).alias("ts"), (F.col("o_orderkey") * 200 + F.col("k")).alias("idx"), *extra)
+    sent = at((0, 250, 700, 800), [F.lit("SEND").alias("kind"), F.lit(1).alias("tag"), F.lit(2).alias("partner"), F.col("o_orderkey").alias("bytes")])
+    counted = at((650, 700, 900), [F.col("k").cast("long").alias("counter_id"), F.col("o_orderkey").alias("value")])
+    return sent, counted
+
+
+def nested_calls(spark: SparkSession, sf_dir: str, stack: bool = False) -> DataFrame:
+    """The nested calls, paired."""
+    from tracelens.operators import calltree
+    from tracelens.sources import trace
+
+    return calltree.executions(trace.ordered(nested(spark, sf_dir)), stack)
+
+
+#: The same as spans: order, lines and the three calls, with their place among an order's events.
+NESTED = f"""od AS (SELECT 0::BIGINT AS pid, o_custkey % 4 AS rid, o_custkey % 509 AS tid, o_orderkey AS k, o_orderpriority AS name, o_orderkey * {DEEP} AS t, count(l_orderkey) AS n
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+pl AS (SELECT l_orderkey AS k, l_returnflag AS fid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem),
+sp AS (SELECT pid, rid, tid, k, name AS fid, t AS entry, t + 900 AS exit, 0 AS i0, 2 * n + 7 AS i1, 1 AS depth, name AS stack, n FROM od
+  UNION ALL SELECT pid, rid, tid, k, fid, t + place * {NEST}, t + 500 - place * {NEST}, place, 2 * n + 1 - place, place + 1, string_agg(fid, '<') OVER (PARTITION BY k ORDER BY place DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) || '<' || name, n FROM pl JOIN od USING (k)
+  UNION ALL SELECT pid, rid, tid, k, f, t + a, t + b, 2 * n + 1 + 2 * j, 2 * n + 2 + 2 * j, 2, f || '<' || name, n FROM od, (VALUES ('first', 600, 700, 0), ('second', 700, 800, 1), ('third', 800, 800, 2)) v(f, a, b, j))"""
+NESTED_POINTS = f"""ms AS (SELECT pid, rid, tid, k, t + x AS ts, k * 200 + i AS idx FROM od, (VALUES (0, 0), (250, 1), (700, 2), (800, 3)) v(x, i)),
+cn AS (SELECT pid, rid, tid, k, t + x AS ts, k * 200 + i AS idx, i::BIGINT AS counter_id, k AS value FROM od, (VALUES (650, 0), (700, 1), (900, 2)) v(x, i))"""

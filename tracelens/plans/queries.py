@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelens import session
 from tracelens.functions import histogram as H
 from tracelens.functions import runstats as R
 from tracelens.operators import calltree as C
 from tracelens.operators import collections as D
+from tracelens.operators import dictionary as N
 from tracelens.operators import models as M
 from tracelens.operators import provenance as P
 from tracelens.operators import stats as S
@@ -224,7 +226,8 @@ def hbos_outliers(spark, sf_dir):
 
 @query(f"WITH {EX} SELECT func, round(3.5 * stddev_pop(exclusive) / cbrt(count(*)), 6) AS width FROM ex GROUP BY func")
 def scott_width(spark, sf_dir):
-    return execs(spark, sf_dir).groupBy("func").agg(_r(3.5 * F.stddev_pop("exclusive") / F.cbrt(F.count("*")), "width"))
+    e = execs(spark, sf_dir).groupBy("func").agg(H.scott_rule("exclusive").alias("width"))
+    return e.select("func", _r("width", "width"))
 
 
 @query(f"WITH {_HIST} SELECT func, bin, round(sum(n) OVER (PARTITION BY func ORDER BY bin) / sum(n) OVER (PARTITION BY func), 6) AS cdf FROM hist")
@@ -239,10 +242,7 @@ SELECT id, func, CASE WHEN n / total < 0.05 * top / total THEN -1 ELSE 1 END AS
 )
 def threshold_prob_label(spark, sf_dir):
     """Rare bins, against the fullest, are outliers."""
-    e = execs(spark, sf_dir)
-    h = H.per_group(e, ["func"], "exclusive").withColumn("top", F.max("n").over(W.partitionBy("func")))
-    placed = M.hbos_label(e, ["func"], "exclusive").select("id", "func", "bin")
-    return placed.join(h, ["func", "bin"]).select("id", "func", F.when(F.col("n") < 0.05 * F.col("top"), -1).otherwise(1).alias("label"))
+    return M.threshold_label(execs(spark, sf_dir), ["func"], "exclusive").select("id", "func", "label")
 
 
 @query()
@@ -257,38 +257,6 @@ def copod_scores(spark, sf_dir):
     return out.select("id", "label", _r("score", "score"))
 
 
-@query(f"WITH {EX} SELECT func, count(*) AS total, round(max(exclusive), 6) AS hi FROM ex GROUP BY func")
-def histogram_merge(spark, sf_dir):
-    """Histograms of steps, folded per function: no count is lost and the range is kept."""
-    import json
-
-    import pandas as pd
-
-    def fold(g):
-        out = None
-        rule = H.width_count(200)
-        for _, part in g.sort_values("step").groupby("step"):
-            h = H.Histogram.of(part["exclusive"].to_numpy(float), rule)
-            out = h if out is None else out.merged(h, rule)
-        return pd.DataFrame({"func": [g["func"].iloc[0]], "model": [json.dumps(out.to_json())]})
-
-    m = execs(spark, sf_dir).select("func", "step", "exclusive").groupBy("func").applyInPandas(fold, "func string, model string")
-    counts = F.from_json(F.get_json_object("model", "$['Bin Counts']"), "array<bigint>")
-    return m.select("func", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), _r(F.get_json_object("model", "$['Max']").cast("double"), "hi"))
-
-
-@query(f"WITH {EX} SELECT func, count(*) FILTER (rid >= 2)::BIGINT - count(*) FILTER (rid < 2)::BIGINT AS change FROM ex GROUP BY func")
-def histogram_diff(spark, sf_dir):
-    """Sum over all bins of the difference between two runs' histograms."""
-    import pandas as pd
-
-    def diff(g):
-        a, b = (H.Histogram.of(g.loc[k, "exclusive"].to_numpy(float), H.width_count(200)) for k in (g["rid"] < 2, g["rid"] >= 2))
-        return pd.DataFrame({"func": [g["func"].iloc[0]], "change": [int(H.difference(a, b)[1].sum())]})
-
-    return execs(spark, sf_dir).select("func", "rid", "exclusive").groupBy("func").applyInPandas(diff, "func string, change long")
-
-
 # -- call trees
 
 
@@ -297,41 +265,31 @@ def call_pairing(spark, sf_dir):
     return C.executions(calls(spark, sf_dir)).select("rid", "tid", "fid", "entry", "exit", "runtime")
 
 
-@query(f"WITH {SPANS} SELECT o.tid, o.entry, o.exit - o.entry - coalesce(sum(li.exit - li.entry), 0)::BIGINT AS exclusive, count(li.k) AS n_children FROM o LEFT JOIN li ON li.k = o.k GROUP BY o.tid, o.entry, o.exit")
+@query(f"WITH {SPANS} SELECT o.tid, o.entry, o.exit - o.entry - coalesce(sum(li.exit - li.entry), 0)::BIGINT AS exclusive, count(li.k) AS n_children FROM o LEFT JOIN li ON li.k = o.k GROUP BY o.tid, o.entry, o.exit UNION ALL SELECT tid, entry, exit - entry, 0 FROM li")
 def exclusive_time(spark, sf_dir):
-    return C.executions(calls(spark, sf_dir)).where("depth = 1").select("tid", "entry", "exclusive", F.col("n_children").cast("long").alias("n_children"))
+    return C.executions(calls(spark, sf_dir)).select("tid", "entry", "exclusive", F.col("n_children").cast("long").alias("n_children"))
 
 
 @query(f"WITH {SPANS} SELECT li.tid, li.entry, o.entry AS parent_entry FROM li JOIN o USING (k)")
 def parent_link(spark, sf_dir):
-    c = C.executions(calls(spark, sf_dir))
+    c = session.materialize(C.executions(calls(spark, sf_dir)), "calls")
     up = c.select("rid", "tid", F.col("seq").alias("parent"), F.col("entry").alias("parent_entry"))
     return c.join(up, ["rid", "tid", "parent"]).select("tid", "entry", "parent_entry")
 
 
 @query(f"WITH {SPANS} SELECT tid, entry, fid AS stack FROM o UNION ALL SELECT tid, entry, fid || '<' || up FROM li")
 def call_stack_walk(spark, sf_dir):
-    c = C.executions(calls(spark, sf_dir))
-    return C.stacks(c).join(c.select("pid", "rid", "tid", "seq", "entry"), ["pid", "rid", "tid", "seq"]).select("tid", "entry", F.array_join("stack", "<").alias("stack"))
+    return C.executions(calls(spark, sf_dir), stack=True).select("tid", "entry", F.array_join("stack", "<").alias("stack"))
 
 
 @query(f"WITH {SPANS}, {POINTS} SELECT tid, ts, fid FROM pt")
 def comm_interval_attach(spark, sf_dir):
-    c = C.executions(calls(spark, sf_dir))
+    c = session.materialize(C.executions(calls(spark, sf_dir)), "calls")
     p = C.attached(points(spark, sf_dir).select("pid", "rid", "tid", "ts"), c, 1_000_000)
     name = c.select("pid", "rid", "tid", F.col("seq").alias("call_seq"), "fid")
     return p.join(name, ["pid", "rid", "tid", "call_seq"]).select("tid", "ts", "fid")
 
 
-@query(f"WITH {SPANS}, {POINTS} SELECT o.tid, o.entry, count(*) AS n FROM o JOIN pt ON pt.tid = o.tid AND pt.ts BETWEEN o.entry AND o.entry + 5000 GROUP BY ALL")
-def counter_window_lookup(spark, sf_dir):
-    """Points in the first half of each order's call."""
-    c = C.executions(calls(spark, sf_dir)).where("depth = 1")
-    w = c.select("pid", "rid", "tid", "seq", F.col("entry"), F.col("entry").alias("t0"), (F.col("entry") + 5000).alias("exit"))
-    hit = C.attached(points(spark, sf_dir).select("pid", "rid", "tid", "ts"), w, 1_000_000).where("call_seq IS NOT NULL")
-    return hit.join(w.select("pid", "rid", "tid", F.col("seq").alias("call_seq"), "entry"), ["pid", "rid", "tid", "call_seq"]).groupBy("tid", "entry").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {SPANS}, a AS (SELECT tid, entry FROM o UNION ALL SELECT tid, entry FROM li) SELECT tid, entry, count(*) OVER w AS size, min(entry) OVER w AS first, max(entry) OVER w AS last FROM a WINDOW w AS (PARTITION BY tid ORDER BY entry ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
 def exec_window(spark, sf_dir):
     c = C.neighbours(C.executions(calls(spark, sf_dir)), 5)
@@ -360,7 +318,7 @@ _CORR = """k AS (SELECT event_id, (props::JSON->>'k')::BIGINT AS value, row_numb
 
 @query(f"WITH {_CORR} SELECT x.value, x.event_id AS a, y.event_id AS b FROM k x JOIN k y ON x.value = y.value AND y.k = x.k + 1 AND x.k % 2 = 1")
 def correlation_pairs(spark, sf_dir):
-    return C.correlated(counters(spark, sf_dir).select("value", F.col("id").alias("seq"))).select("value", "a", "b")
+    return C.correlated(counters(spark, sf_dir).select("value", F.col("id").alias("seq"))).select("value", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
 
 
 @query("SELECT (props::JSON->>'k')::BIGINT AS value, count(*) AS n FROM events GROUP BY 1 HAVING count(*) % 2 = 1")
@@ -385,24 +343,13 @@ def invalid_event_reject(spark, sf_dir):
 @query("SELECT event_type AS name, row_number() OVER (ORDER BY first) - 1 AS fid FROM (SELECT event_type, min(event_id) AS first FROM events GROUP BY 1)")
 def function_index_assign(spark, sf_dir):
     """Global indexes by first appearance; the dictionary is as small as the program's functions."""
-    first = execs(spark, sf_dir).groupBy("pid", F.col("func").alias("name")).agg(F.min("id").alias("first"))
-    return first.select("name", (F.row_number().over(W.partitionBy("pid").orderBy("first")) - 1).cast("long").alias("fid"))
+    seen = execs(spark, sf_dir).groupBy("pid", F.col("func").alias("name")).agg(F.min("id").alias("first"))
+    return N.assign(spark.createDataFrame([], "pid long, name string, fid long"), seen).select("name", "fid")
 
 
 # -- provenance and collections
 
 
-@query(
-    f"""WITH {_LAB}, best AS (SELECT tid, func, step, arg_min(id, (score, id)) AS normal FROM lab WHERE label = 1 GROUP BY ALL),
-bad AS (SELECT tid, func, step, min(id) AS id FROM lab WHERE label = -1 GROUP BY ALL)
-SELECT bad.tid, bad.func, bad.step, bad.id, coalesce(
-  (SELECT arg_max(normal, b.step) FROM best b WHERE b.tid = bad.tid AND b.func = bad.func AND b.step <= bad.step),
-  (SELECT arg_min(normal, b.step) FROM best b WHERE b.tid = bad.tid AND b.func = bad.func AND b.step > bad.step)) AS example FROM bad"""
-)
-def normal_exemplar(spark, sf_dir):
-    return P.normal_examples(_labelled(spark, sf_dir)).select("tid", "func", "step", "id", "example")
-
-
 @query(f"WITH {CT} SELECT rid, counter AS field, arg_max(value, (ts, value)) AS value, max(ts) AS ts FROM ct WHERE counter IN ('click', 'view') GROUP BY rid, counter")
 def node_state_last(spark, sf_dir):
     watch = spark.createDataFrame([("click", "click"), ("view", "view")], "counter string, field string")
@@ -484,3 +431,6 @@ def stream_replay(spark, sf_dir):
 
     e = execs(spark, sf_dir).select("id", F.col("entry").alias("ts"))
     return trace.replayed(e, 3, 1_000_000)
+
+
+from tracelens.plans import more  # noqa: E402, F401  (registers its queries here)
