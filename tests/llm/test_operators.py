@@ -361,55 +361,127 @@ def test_language_model_scores(docs, rows, empty):
         assert r["train_tokens"] == n
         assert any(r["n_tokens"] == a and r["n_known"] == b and r["base_score"] == pytest.approx(c, rel=1e-9) for a, b, c in want[r["doc_id"]])
         assert r["score"] < 0 and r["score"] == pytest.approx(-r["total_bits"] * math.log10(2))
+    # however the table is dealt, texts get the same score; repeated rows too
+    again = lm.score(docs.repartition(1)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in again) == sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got)
+    same = [r["score"] for r in got if r["doc_id"] == 2]
+    assert len(same) == 3 and max(same) == min(same)
     assert lm.score(empty).count() == 0
 
 
+def slow_model(code, frequent, texts, counted):
+    """Contexts of every symbol of some texts, and counts of (context, node) in those that are learnt from."""
+    def hash_of(unit):
+        sym = np.array(unit, np.int16)
+        return int(lm.hashes(sym, np.zeros(1, np.int64), np.array([len(sym)]))[0])
+
+    marks = {int(h): k + 1 for k, h in enumerate(frequent)}
+    seen, every = Counter(), []
+    for text, learn in zip(texts, counted, strict=True):
+        sym = [*text.lower(), lm.END]
+        before, unit, kind, out = [0, 0], [], 0, []
+        for c in sym:
+            contexts = [("pair", *before), ("word", *unit), ("class", kind, *unit)]
+            t = code.tree[unit[-1] + 1 if unit else 0]
+            number = t * lm.SYMBOLS + c
+            path = [(int(code.node[d, number]), int(code.bit[d, number])) for d in range(code.size[number])]
+            out.append((contexts, t, path))
+            if learn:
+                for x in contexts:
+                    for node, bit in path:
+                        seen[x, t, node, bit] += 1
+            before = [before[1], c + 1]
+            unit = [*unit, c]
+            if c == lm.END or c in b" \t\n\v\f\r":
+                kind = marks.get(hash_of(unit), kind)
+                unit = []
+        every.append(out)
+    return seen, every
+
+
+def slow_bits(model, seen, every):
+    out = []
+    cost = model.cost.reshape(lm.GATES, lm.LEVELS, 2)
+    sure = lambda o: int(lm.SURE[np.int8(o).view(np.uint8)])
+    for text in every:
+        weights, total, at, length, turn = model.weights.astype(np.float64).copy(), 0.0, 0, lm.FIRST, 0
+        while at < len(text):
+            grad, n, k = np.zeros((lm.GATES, lm.PREDICTORS)), np.zeros(lm.GATES), 0
+            for contexts, t, path in text[at : at + length]:
+                for node, bit in path:
+                    odds = []
+                    for x in contexts:
+                        one, zero = seen[x, t, node, 1], seen[x, t, node, 0]
+                        odds.append(float(np.clip(np.rint(math.log((one + 0.4) / (zero + 0.4)) * lm.SCALE), -127, 127)))
+                    gate = sure(odds[1]) * 4 + sure(odds[2])
+                    mixed = np.float32((weights[gate] * odds).sum())
+                    level = int(lm.levels(np.array([mixed], np.float32))[0])
+                    total += float(cost[gate, level, bit])
+                    if k % lm.STRIDE == 0:
+                        grad[gate] += (bit - float(lm._CHANCE[level])) * np.array(odds)
+                        n[gate] += 1
+                    k += 1
+            weights += grad * lm.RATE / lm.SCALE**2 / (n[:, None] + lm.CALM / lm.STRIDE)
+            at += length
+            turn += 1
+            length = min(length * 2, lm.LONGEST) if turn % 2 == 0 else length
+        out.append(total)
+    return out
+
+
+def lm_block(texts, counted):
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    sym, _ = lm.symbols(data, offsets)
+    before = np.append(0, np.where(lm.ENDS[sym[:-1]], 0, sym[:-1] + 1))
+    code = lm.trees(np.bincount(before * lm.SYMBOLS + sym, minlength=(lm.SYMBOLS + 1) * lm.SYMBOLS))
+    frequent = lm.frequent_units(data, offsets)
+    block = lm.analysed(code, frequent, data, offsets, np.array(counted))
+    odds = [lm.paths(code, block.codes, block.code_times, False)[0]]
+    who, _, k = lm.Entries.unpacked(block.entries.packed()).tails(code)
+    odds.append(lm.paths(code, *lm.summed(k.reshape(-1), np.tile(block.times[who], 2)), True)[0])
+    return code, frequent, block, np.concatenate(odds)
+
+
+def test_model_against_a_plain_one(rows):
+    r = np.random.default_rng(5)
+    texts = [(t or "").encode()[:900] for _, t in rows[:60]] + [b"", b" ", b"\n\n", b"The the THE cat", "é日本".encode()]
+    texts += [(" ".join(r.choice(["stay", "away", "Go", "on", "x,y"], 1500))).encode()]  # rounds of every length
+    counted = (r.random(len(texts)) < 0.7).tolist()
+    code, frequent, block, odds = lm_block(texts, counted)
+    gate, x, bit = lm.sample_decisions(code, block, odds)
+    for model in (lm.Model.plain(), lm.learnt(gate, x, bit)):
+        want = slow_bits(model, *slow_model(code, frequent, texts, counted))
+        assert lm.bits(code, model, block, odds) == pytest.approx(want, rel=2e-3, abs=0.05)
+    plain, fitted = (lm.bits(code, m, block, odds).sum() for m in (lm.Model.plain(), lm.learnt(gate, x, bit)))
+    assert fitted < plain
+
+
 def test_decisions_are_a_distribution():
-    """The chances of all symbols in one context add up to one."""
+    """The chances of all symbols in one context add up to one, whatever the weights and their refinement."""
     r = np.random.default_rng(1)
-    code = lm.tree(r.integers(0, 1000, lm.SYMBOLS))
-    table = r.integers(-60, 60, lm.BASE[-1]).astype(np.int8)
-    context = [np.full(lm.SYMBOLS, c, np.uint32) for c in (11, 222, 3333)]
-    cost = lm.costs(code, table, context, np.arange(lm.SYMBOLS).astype(np.int16))
-    assert np.exp2(-cost.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(lm.SETS)), abs=1e-4)
-
-
-def test_model_counts_every_context_for_itself():
-    """Log-odds are those of exact counts by (context, node), whatever else was counted."""
-    code = lm.tree(np.bincount(np.frombuffer(b"the cat sat on the mat " * 9, np.uint8), minlength=lm.SYMBOLS))
-    r = np.random.default_rng(4)
-    texts = [bytes(r.integers(97, 123, 40).astype(np.uint8)) for _ in range(20_000)] + [b"the cat sat"] * 3
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    held = np.zeros(len(texts), bool)
-    held[-1] = True
-    got = list(lm.asked(code, np.frombuffer(b"".join(texts), np.uint8), offsets, held))
-    keys, times = lm.summed(np.concatenate([k for g in got for k in g.keys]), np.concatenate([t for g in got for t in g.times]))
-    odds, start = lm.paths(code, keys, times.astype(np.int64))
-    last = got[-1]
-    seen, want = defaultdict(Counter), []
-    for t in texts[:-1]:
-        s = [*t, lm.END]
-        for i, c in enumerate(s):
-            seen[tuple(s[max(0, i - 4) : i])][c] += 1
-    s = [*texts[-1], lm.END]
-    for i, c in enumerate(s):
-        counts, path = seen[tuple(s[max(0, i - 4) : i])], []
-        for d in range(code.size[c]):
-            under = [x for x in counts if code.size[x] > d and code.node[d, x] == code.node[d, c]]
-            one = sum(counts[x] for x in under if code.bit[d, x])
-            zero = sum(counts[x] for x in under if not code.bit[d, x])
-            path.append(max(-127, min(127, round(math.log((one + 0.4) / (zero + 0.4)) * lm.SCALE))))
-        want.append(path)
-    at = np.searchsorted(keys, last.keys[1][last.index[1][last.number[-len(s) :]]])
-    assert [odds[start[k] : start[k + 1]].tolist() for k in at] == want
-    # each context keeps a hash of its own
-    assert len(np.unique(keys >> np.uint64(9))) > 500_000
-    every = np.concatenate([(k >> np.uint64(9) << np.uint64(9))[:1] | code.leaf for k in last.keys])
-    full, n = lm.summed(np.concatenate([keys, every]), np.concatenate([times, np.zeros(len(every), times.dtype)]))
-    odds, start = lm.paths(code, full, n.astype(np.int64))
-    begins = [start[np.searchsorted(full, e)] for e in every.reshape(3, -1)]
-    cost = lm.mixed(code, np.arange(lm.SYMBOLS).astype(np.int16), lambda d, at, _: [odds[(b if at is None else b[at]) + d] for b in begins])
-    assert np.exp2(-cost.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(lm.SETS)), abs=1e-4)
+    code = lm.trees(r.integers(0, 1000, (lm.SYMBOLS + 1, lm.SYMBOLS)))
+    model = lm.learnt(r.integers(0, lm.GATES, 5000), r.normal(0, 2, (5000, 3)), r.integers(0, 2, 5000).astype(float))
+    for t in (0, 3):
+        number = np.arange(lm.SYMBOLS) + t * lm.SYMBOLS
+        node = {int(n): r.integers(-60, 60, 3) for d in range(len(code.node)) for n in code.node[d, number]}
+        total = 0.0
+        for c in number:
+            cost = 0.0
+            for d in range(code.size[c]):
+                odds = node[int(code.node[d, c])].astype(np.int8)
+                gate = int(lm.gates(odds[1:2], odds[2:3])[0])
+                level = int(lm.levels((model.weights[gate] * odds).sum(keepdims=True).astype(np.float32))[0])
+                cost += float(model.cost[(gate * lm.LEVELS + level) * 2 + code.bit[d, c]])
+            total += 2.0**-cost
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_weights_learn_what_predicts():
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (20_000, 3))
+    bit = (r.random(20_000) < 1 / (1 + np.exp(-2 * x[:, 1]))).astype(float)
+    model = lm.learnt(np.zeros(20_000, int), x, bit)
+    assert model.weights[0] * lm.SCALE == pytest.approx([0, 2, 0], abs=0.1)
 
 
 # -- 10

@@ -37,7 +37,7 @@ def bounds(parts: int) -> np.ndarray:
 
 def home(block: int, parts: int) -> int:
     """The range that a block's own rows travel with: blocks of all tasks are dealt evenly."""
-    return int(_text.mix(np.array([block], np.uint64))[0] % np.uint64(parts))
+    return int(_text.mix(np.array([block & (1 << 63) - 1], np.uint64))[0] % np.uint64(parts))
 
 
 def shared_tokens(docs: DataFrame, extract: Extract, name: str, keep_percent: int = 0) -> DataFrame:
