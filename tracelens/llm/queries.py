@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm": lm.op9_lm,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL = {"op1_lines": lines.OP1_SQL}
+ORACLE_SQL = {"op1_lines": lines.OP1_SQL, "op3_warc": warc.OP3_SQL, "op7_jaccard": jaccard.OP7_SQL, "op8_suffix": suffix.OP8_SQL}

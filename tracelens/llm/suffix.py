@@ -421,3 +421,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suffix dedup removes from every document."""
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP8_SQL = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substr(h, (2 * p + 1)::INT, 200) AS w FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS p FROM doc WHERE length(h) >= 200)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, (p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 100)::INT AS new FROM again)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM run GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(n_spans + 1), lambda i: substr(h, (2 * CASE WHEN i = 0 THEN 0 ELSE b[i] END + 1)::INT, (2 * (CASE WHEN i = n_spans THEN length(h) // 2 ELSE a[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE b[i] END))::INT)), '')) END) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
+"""

@@ -263,3 +263,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(sizes, "refers_to_record", "left").select(
         "page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "digests_ok", "target_uri"
     )
+
+
+OP3_SQL = """
+WITH page AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS first FROM page GROUP BY h),
+coded AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 2))::INT) >> (3 - (5 * i) % 4)::INT) & 31) + 1, 1), '' ORDER BY i) AS payload_digest
+  FROM first, range(32) r(i) GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS digests_ok, url AS target_uri
+FROM page JOIN first USING (h) JOIN coded USING (h)
+"""
