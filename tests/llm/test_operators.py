@@ -36,10 +36,10 @@ def brute_lines(rows):
         ls = t.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls]
         out, cur = [], []
+        mark = [(h[k] + 31 * (h[k - 1] if k > 0 else 0) + 961 * (h[k - 2] if k > 1 else 0)) % lines.DIVISOR == 0 for k in range(len(ls))]
         for k, x in enumerate(ls):
             cur.append(x)
-            r = h[k] + 31 * (h[k - 1] if k > 0 else 0) + 961 * (h[k - 2] if k > 1 else 0)
-            if k == len(ls) - 1 or r % lines.DIVISOR == 0:
+            if k == len(ls) - 1 or (0 < k < len(ls) - 2 and mark[k] and not mark[k - 1]):
                 out.append(cur)
                 cur = []
         chunks[i, t] = out
@@ -69,7 +69,18 @@ def test_line_dedup_survives_an_insertion(spark):
     d = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(other))], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in lines.dedup(d).collect()}
     assert kept[1] == "\n".join(body)
-    assert len(kept[2].split("\n")) < 20
+    assert len(kept[2].split("\n")) < 12
+
+
+def test_line_dedup_of_hot_chunks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, "\n".join(["shared one", "shared two"] * 3 + [f"own {i} {k}" for k in range(int(r.integers(0, 5)))])) for i in range(60)] + [(100, "a\nb"), (101, "a\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    for hot in (1, 3, 5000):
+        monkeypatch.setattr(lines, "HOT", hot)
+        assert {(x["doc_id"], x["text"]) for x in lines.dedup(docs).collect()} == {(i, want[i, t]) for i, t in rows}
+    assert want[101, "a\nb"] == ""
 
 
 # -- 2

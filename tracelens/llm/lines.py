@@ -1,16 +1,20 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Every line is hashed; a rolling hash over each line and the two before it ends a chunk
-where it is divisible by ``DIVISOR``. A boundary depends on three lines alone, so an
-insertion moves no boundary further on. Chunks of two lines or more are grouped by their
-hash and their bytes: the grouping is the byte comparison. Of those that occur more than
-once the first (least doc_id, then position) stays, the others are cut out of their texts.
-Equal chunks meet within each task before the shuffle. A chunk whose hash also belongs to
-other bytes is kept.
+Every line is hashed; a rolling hash over each line and the two before it marks a line where
+it is divisible by ``DIVISOR``. A marked line ends a chunk if the line before isn't marked, and
+neither the first line of a text nor its last but one ends a chunk, so every chunk has two lines
+or more, but that of a text of one line. A boundary depends on four lines alone, so an insertion
+moves no boundary further on. Chunks of two lines or more are grouped by two hashes and their
+bytes: the grouping is the byte comparison. Of those that occur more than once the first (least
+doc_id, then position) stays, the others are cut out of their texts. Equal chunks meet within
+each task before the shuffle; the few chunks that make up most copies are joined by broadcast (at most
+``HOT`` of them, by their share), the others by their hashes. A passage that an edit or a cut of its
+ends changes keeps the chunks at that place: up to a chunk at either end.
 
 Null text stays null and has no lines; an empty text is one empty line. Rows that repeat
 with the same doc_id are one document: their chunks don't remove each other. A null
-doc_id comes before all others. Extra columns are kept, an empty table stays empty.
+doc_id comes before all others. Extra columns are kept unless their names begin with two underscores;
+an empty table stays empty. A text of any length is one row, handled whole by one task.
 """
 
 from __future__ import annotations
@@ -18,11 +22,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelens import session
+
 DIVISOR = 3
+#: A chunk is joined by broadcast if it has at least this part of all copies: there are no more than HOT such chunks.
+HOT = 5000
 
 _HASHES = "transform(__lines, l -> cast(conv(substr(md5(l), 1, 8), 16, 10) AS bigint))"
+_MARK = f"(get(__h, {{0}} - 1) + 31 * coalesce(get(__h, {{0}} - 2), 0L) + 961 * coalesce(get(__h, {{0}} - 3), 0L)) % {DIVISOR} = 0"
 _ENDS = f"""filter(sequence(1, size(__lines)), i -> i = size(__lines)
-  OR (get(__h, i - 1) + 31 * coalesce(get(__h, i - 2), 0L) + 961 * coalesce(get(__h, i - 3), 0L)) % {DIVISOR} = 0)"""
+  OR (i > 1 AND i < size(__lines) - 1 AND {_MARK.format("i")} AND NOT {_MARK.format("(i - 1)")}))"""
 _CHUNKS = """transform(__ends, (e, k) -> struct(k AS pos, e - coalesce(get(__ends, k - 1), 0) AS n,
   array_join(slice(__lines, coalesce(get(__ends, k - 1), 0) + 1, e - coalesce(get(__ends, k - 1), 0)), '\\n') AS bytes))"""
 
@@ -41,18 +50,25 @@ def _cut(docs: DataFrame, text: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per chunk: __id, pos, n, bytes, hash."""
+    """A row per chunk: __id, pos, n, bytes, and two hashes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__id"), F.col(text).alias("__text"))
-    return _cut(rows, "__text").select("__id", F.explode("__chunks").alias("c")).select("__id", "c.pos", "c.n", "c.bytes", F.xxhash64("c.bytes").alias("hash"))
+    return _cut(rows, "__text").select("__id", F.explode("__chunks").alias("c")).select("__id", "c.pos", "c.n", "c.bytes", F.xxhash64("c.bytes").alias("hash"), F.conv(F.substring(F.md5("c.bytes"), 1, 15), 16, 10).cast("long").alias("check"))
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Positions of the chunks to cut from each document: __id, __cut (array)."""
     multi = chunks(docs, text, key).where("n >= 2")
     at = F.col("__id").cast("decimal(38,0)") * F.lit(2**31) + F.col("pos")
-    by_bytes = multi.groupBy("hash", "bytes").agg(F.min(at.cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies"))
-    first = by_bytes.groupBy("hash").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"), F.count("*").alias("texts")).where("copies > 1 AND texts = 1")
-    found = multi.select("__id", "pos", "hash", at.cast("decimal(38,0)").alias("at")).join(first.select("hash", "first"), "hash").where("at > first")
+    by_bytes = multi.groupBy("hash", "check", "bytes").agg(F.min(at.cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = session.materialize(by_bytes.select("hash", "check", "first", "copies"), "chunks")
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    hot = first.where(F.col("copies") * HOT >= total).select("hash", "check", F.col("first").alias("__hot"))
+    rest = first.where(F.col("copies") * HOT < total).select(F.col("hash").alias("__hash"), F.col("check").alias("__check"), F.col("first").alias("__rest"))
+    some = multi.select("__id", "pos", "hash", "check", at.cast("decimal(38,0)").alias("at")).join(F.broadcast(hot), ["hash", "check"], "left")
+    # what has met its hot chunk is dealt by its place and meets nothing
+    key = F.when(F.col("__hot").isNull(), F.col("hash")).otherwise(F.xxhash64("__id", "pos"))
+    some = some.withColumn("__hash", key).withColumn("__check", F.when(F.col("__hot").isNull(), F.col("check")).otherwise(-1))
+    found = some.join(rest, ["__hash", "__check"], "left").where(F.col("at") > F.coalesce("__hot", "__rest"))
     return found.groupBy("__id").agg(F.collect_set("pos").alias("__cut"))
 
 
@@ -86,9 +102,11 @@ OP1_SQL = f"""
 WITH line AS (
   SELECT doc_id, i AS no, l, ('0x' || substr(md5(l), 1, 8))::BIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-ending AS (
-  SELECT *, no = lines OR (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % {DIVISOR} = 0 AS ends
+marked AS (
+  SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % {DIVISOR} = 0 AS mark
   FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+ending AS (
+  SELECT *, no = lines OR (no > 1 AND no < lines - 1 AND mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY no)) AS ends FROM marked),
 numbered AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ending),
 chunk AS (
