@@ -11,6 +11,7 @@ have is added up in the block first and costs one entry there, so a range holds
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,20 @@ BLOCK_ROWS = 60_000
 HEAVY = 64
 _ALL = np.uint64(0xFFFF)  # stands for the rows of such a token; a block has fewer
 
+def sheltered(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that keep the columns of their first argument: columns whose names begin like those that operators add get other names meanwhile."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        mark = "own_"
+        while any(c.startswith(mark) for c in docs.columns):
+            mark += "_"
+        own = {c: f"{mark}{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        return f(docs.withColumnsRenamed(own), *args, **kwargs).withColumnsRenamed({v: c for c, v in own.items()})
+
+    return run
+
+
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 

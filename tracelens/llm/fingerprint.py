@@ -30,8 +30,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 69069069)
 SPAN = 12
 SKETCH = 64
-#: Rows that one part of the ordered walk holds.
+#: Rows that one part of the ordered walk holds, until there are MOST_PARTS: the driver sees a key for each part.
 PART_ROWS = 4096
+MOST_PARTS = 16_384
 
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
@@ -141,9 +142,11 @@ def _compare(text: str, own: str, prefixes: Prefixes, following: str, next_print
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of the text edited with its next row's, by descending key.
 
-    The table is cut into ranges of the key's order at exact quantile rows; each range also gets
+    The table is cut into ranges of the key's order at quantiles; each range also gets
     a copy of the row after its last, and is walked in order. Each text is shuffled once (and
-    once more where it begins a range); the ranges' first keys are all that the driver sees.
+    once more where it begins a range); the ranges' first keys, at most MOST_PARTS, are all that the
+    driver sees, and a range is sorted by Spark, which spills, and walked row by row, so it may be of any length.
+    Other columns are left out.
     """
     spark = docs.sparkSession
     session.ship(spark)
@@ -155,7 +158,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     count = order.count()
     if not count:
         return spark.createDataFrame([], f"{key} long, {SCHEMA}")
-    parts = max(1, min(count, max(session.partitions(spark), -(-count // PART_ROWS))))
+    parts = max(1, min(count, max(session.partitions(spark), min(MOST_PARTS, -(-count // PART_ROWS)))))
     cuts = sorted({min(int(x), (1 << 63) - 1) for x in order.approxQuantile("a", [i / parts for i in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
     bounds = np.array(cuts, np.int64)
 
@@ -204,7 +207,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     placed = rows.select("k", "t", "a", "b").mapInArrow(dealt, "k long, t string, a long, b string, part long, tail boolean")
-    placed = placed.repartition(len(heads), "part").sortWithinPartitions("part", "tail", "a", "b")
+    placed = placed.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "a", "b")
     return placed.mapInArrow(walk, f"{key} long, {SCHEMA}")
 
 

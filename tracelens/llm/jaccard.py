@@ -18,7 +18,8 @@ between different components is found; no candidate is capped.
 Null or wordless text has no shingles and links with nothing; fewer than five words are
 one shingle. Equal sets are one vertex, so repeated rows and ties share their component.
 A null doc_id sorts after all others. Extra columns are ignored or kept by the caller.
-An empty table gives an empty result.
+An empty table gives an empty result. A very long text is one set; its shingles take some 8 bytes each
+where it is read and where its group is opened.
 """
 
 from __future__ import annotations
@@ -264,6 +265,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.select(null(F.col("id")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "id")).alias("component_id"))
 
 
+@_shared.sheltered
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose key is their component's: one of each group of near-duplicates."""
     kept = join(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__id")).distinct()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens import session
-from tracelens.llm import _text
+from tracelens.llm import _shared, _text
 
 MAX_N = 4
 UNKNOWN = "und"
@@ -251,6 +251,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 160, sample_chars: int = 20_000,
     return train(out)
 
 
+@_shared.sheltered
 def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Adds (or replaces) ``lang_pred`` and ``score``, and with a third name whether the evidence is enough; the model is broadcast, its size set by the landmarks."""
     spark = docs.sparkSession
@@ -273,6 +274,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
+@_shared.sheltered
 def identified(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
     """The documents whose language is known: those that the model accepts on enough evidence, with their own columns."""
     rows = classify(docs, fit(docs), names=("__lang", "__score", "__known"))

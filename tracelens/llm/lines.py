@@ -13,7 +13,7 @@ ends changes keeps the chunks at that place: up to a chunk at either end.
 
 Null text stays null and has no lines; an empty text is one empty line. Rows that repeat
 with the same doc_id are one document: their chunks don't remove each other. A null
-doc_id comes before all others. Extra columns are kept unless their names begin with two underscores;
+doc_id comes before all others. Extra columns are kept, whatever their names;
 an empty table stays empty. A text of any length is one row, handled whole by one task.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens import session
+from tracelens.llm import _shared
 
 DIVISOR = 3
 #: A chunk is joined by broadcast if it has at least this part of all copies: there are no more than HOT such chunks.
@@ -72,6 +73,7 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return found.groupBy("__id").agg(F.collect_set("pos").alias("__cut"))
 
 
+@_shared.sheltered
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = False) -> DataFrame:
     """The documents without repeated chunks; with ``counts`` also n_lines, n_removed_lines, n_chunks, n_removed_chunks."""
     cut = repeated(docs, text, key)

@@ -10,6 +10,9 @@ Stored form: 8-bit greyscale PNG, 24 samples wide, whose samples are the payload
 Null HTML gives no items; null text is stored as empty text. A reference whose digest
 is not in the media table keeps a null payload. Repeated rows resolve alike, references
 repeated in one document keep their own positions, an empty table gives an empty one.
+A very long text is one image, made and read whole by one task. Columns are kept, whatever
+their names, but those named like a result (items; position, kind, text, ref, caption and the
+media's columns) give way to it.
 """
 
 from __future__ import annotations

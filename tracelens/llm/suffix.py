@@ -402,6 +402,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.withColumn(key, F.col(key).cast("long")).mapInArrow(run, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@_shared.sheltered
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their repeated strings; characters that a cut runs through go wholly."""
     kept = [c for c in docs.columns if c != text]

@@ -32,6 +32,8 @@ from tracelens import session
 
 #: An archive ends once it holds this many bytes.
 ARCHIVE_BYTES = 16 << 20
+#: A page is joined by broadcast if it has at least this part of all copies: there are no more than HOT such pages.
+HOT = 5000
 STEP = 1 << 16
 RECORDS = (
     "archive string, record_offset long, record_id string, record_type string, target_uri string, page_id long, refers_to_record string, "
@@ -208,6 +210,8 @@ def write(pages: DataFrame, revisit_min_bytes: int = 0, key: str = "page_id", ur
 
     Of payloads with equal digests and at least ``revisit_min_bytes`` bytes, the smallest key is
     the response and the others revisit it. Only compressed members and digests are shuffled.
+    Only the three columns are read, so others, whatever their names, make no difference. A payload
+    of any length is one record, compressed whole by one task.
     """
     spark = pages.sparkSession
     session.ship(spark)
@@ -248,10 +252,16 @@ def write(pages: DataFrame, revisit_min_bytes: int = 0, key: str = "page_id", ur
         .groupBy(F.sha1("body").alias("sha1"))
         .agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         .where("copies > 1 AND first IS NOT NULL")
-        .select("sha1", "first")
     )
-    packed = given.mapInArrow(pack, "id long, url string, sha1 string, member binary")
-    return packed.join(first, "sha1", "left").select("id", "url", "sha1", "member", "first").mapInArrow(lay, "name string, content binary")
+    first = session.materialize(first, "first")
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * HOT >= total
+    hot, rest = first.where(often).select("sha1", F.col("first").alias("hot")), first.where(~often).select(F.col("sha1").alias("met"), F.col("first").alias("other"))
+    packed = given.mapInArrow(pack, "id long, url string, sha1 string, member binary").join(F.broadcast(hot), "sha1", "left")
+    # what has met a common page is dealt by its id and meets nothing, so its copies don't come to one task
+    packed = packed.withColumn("met", F.when(F.col("hot").isNull(), F.col("sha1")).otherwise(F.col("id").cast("string")))
+    both = packed.join(rest, "met", "left").withColumn("first", F.coalesce("hot", "other"))
+    return both.select("id", "url", "sha1", "member", "first").mapInArrow(lay, "name string, content binary")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
