@@ -1,8 +1,15 @@
 """A corpus pipeline of five operators: language ID, line dedup, near-duplicates, suffix dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all
-but the last return the columns of ``documents``. Between stages the rows are written as
-Parquet in the shared folder and read again.
+but the last return the columns of ``documents``, and any others that there are, whatever their
+names. Between stages the rows are written as Parquet in the shared folder and read again; what a
+stage replaces is removed.
+
+In every stage an empty table stays empty. A null or empty text has no letter and goes in the first
+stage; later ones would keep it as it is (a null text has no lines, no shingles and no bytes, and is
+packed as the separator alone). A very long text is one row, handled whole by one task. Repeated rows are one
+document: the third stage keeps one of them. Of equal documents, and of groups of near-duplicates, the
+least doc_id stays; a null doc_id is last there, and first among equal chunks of lines.
 """
 
 from __future__ import annotations
@@ -59,7 +66,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = session.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            session.drop_table(last)
+        last = docs
     return docs
