@@ -393,13 +393,14 @@ def slow_model(code, frequent, texts, counted):
         sym = [*text.lower(), lm.END]
         before, unit, kind, out = [0, 0], [], 0, []
         for c in sym:
-            contexts = [("pair", *before), ("word", *unit), ("class", kind, *unit)]
+            near = ("late", kind, *unit[-3:]) if len(unit) >= lm.HEAD else ("pair", *before)
+            contexts = [near, ("word", *unit), ("class", kind, *unit)]
             t = code.tree[unit[-1] + 1 if unit else 0]
             number = t * lm.SYMBOLS + c
             path = [(int(code.node[d, number]), int(code.bit[d, number])) for d in range(code.size[number])]
             out.append((contexts, t, path))
             if learn:
-                for x in contexts:
+                for x in {*contexts, ("pair", *before)}:  # pairs are counted everywhere
                     for node, bit in path:
                         seen[x, t, node, bit] += 1
             before = [before[1], c + 1]
@@ -424,7 +425,7 @@ def slow_bits(model, seen, every):
                     odds = []
                     for x in contexts:
                         one, zero = seen[x, t, node, 1], seen[x, t, node, 0]
-                        odds.append(float(np.clip(np.rint(math.log((one + 0.4) / (zero + 0.4)) * lm.SCALE), -127, 127)))
+                        odds.append(float(np.clip(np.rint(math.log((one + lm.PRIOR) / (zero + lm.PRIOR)) * lm.SCALE), -127, 127)))
                     gate = sure(odds[1]) * 4 + sure(odds[2])
                     mixed = np.float32((weights[gate] * odds).sum())
                     level = int(lm.levels(np.array([mixed], np.float32))[0])
