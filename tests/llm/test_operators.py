@@ -312,6 +312,14 @@ def test_one_of_each(docs, rows):
     assert sorted(ids, key=str) == sorted({c for _, _, c in brute_components(rows)}, key=str)
 
 
+def test_join_of_hot_keys(docs, rows, monkeypatch):
+    label = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    for hot in (1, 4):
+        monkeypatch.setattr(_shared, "HOT", hot)
+        got = jaccard.join(docs).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == label
+
+
 # -- 8
 
 
@@ -708,7 +716,7 @@ def test_pipeline_against_a_plain_one(spark, tables):
     kept = langid.identified(docs)
     rows = sorted((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect())
     rows = sorted((i, t) for (i, _), t in brute_lines(rows).items())
-    label = brute_components(rows)
+    label = plain_components(rows)
     rows = [(i, t) for i, t in rows if label[i] == i]
     seen, last = {}, []
     for i, t in rows:
@@ -729,8 +737,8 @@ def test_pipeline_against_a_plain_one(spark, tables):
     assert empty.count() == 0
 
 
-def brute_components(rows):
-    sets = {i: words_of(t) for i, t in rows}
+def plain_components(rows):
+    sets = {i: plain_set(t) for i, t in rows}
     label = {i: i for i in sets}
 
     def root(i):
@@ -746,6 +754,6 @@ def brute_components(rows):
     return {i: root(i) for i in sets}
 
 
-def words_of(t):
+def plain_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

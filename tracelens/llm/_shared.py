@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelens import session
 from tracelens.llm import _text
@@ -42,6 +43,23 @@ def sheltered(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+#: A key is joined by broadcast if it has at least this part of all rows: there are no more than HOT such keys.
+HOT = 5000
+
+
+def met(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """``left`` with ``value`` by ``key`` (a long) from ``right``: key, value and ``hot``, a row for each key, at most HOT of them hot.
+
+    Hot keys are joined by broadcast. Rows that have met one are dealt by all that they hold, so no key's rows come to one task.
+    """
+    hot = right.where("hot").select(key, F.col(value).alias("__hot"))
+    rest = right.where("NOT hot").select(F.col(key).alias("__key"), F.lit(0).alias("__off"), F.col(value).alias("__rest"))
+    out = left.join(F.broadcast(hot), key, "left")
+    done = F.col("__hot").isNotNull()
+    out = out.withColumn("__off", done.cast("int")).withColumn("__key", F.when(done, F.xxhash64(*left.columns)).otherwise(F.col(key)))
+    return out.join(rest, ["__key", "__off"], "left").withColumn(value, F.coalesce("__hot", "__rest")).drop("__key", "__off", "__hot", "__rest")
+
+
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 

@@ -217,8 +217,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64()), pa.array(least, pa.int64())], names=["id", "n", "tokens", "freqs", "fp", "least"])
 
     marked = sets.mapInArrow(print_, "id long, n long, tokens binary, freqs binary, fp long, least long")
-    vertices = marked.where("fp IS NOT NULL").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "freqs", "least")))
+    vertices = marked.where("fp IS NOT NULL").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "freqs", "least")), F.count("*").alias("copies"))
     vertices = session.materialize(vertices, "sets")
+    linked = vertices.agg(F.sum("copies")).first()[0] or 0
+    often = session.materialize(vertices.where(F.col("copies") * _shared.HOT >= linked).select("fp"), "often")  # at most HOT
     session.release(spark)
     size = (F.octet_length("tokens") / 8).cast("long")
     hot = vertices.groupBy("least").agg(F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum(size) / GROUP_TOKENS)).alias("parts")).where("parts > 1")
@@ -257,10 +259,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     second = session.materialize(_edges(groups, rest), "links")
     stars = components(first.unionByName(second))
 
-    root = rooted(stars).select("fp", "root")
-    known = marked.select("id", "n", "fp").join(root, "fp", "left")
-    label = known.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = known.join(label, "root", "left")
+    root = rooted(stars).select("fp", "root").join(F.broadcast(often.withColumn("hot", F.lit(True))), "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    known = session.materialize(_shared.met(marked.select("id", "n", "fp"), session.materialize(root, "roots"), "fp", "root"), "known")
+    label = known.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows"))
+    label = session.materialize(label.withColumn("hot", F.col("rows") * _shared.HOT >= linked), "labels")
+    out = _shared.met(known, label, "root", "component_id")
     null = lambda c: F.when(c != last, c)
     return out.select(null(F.col("id")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "id")).alias("component_id"))
 
