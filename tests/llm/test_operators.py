@@ -477,6 +477,50 @@ def test_model_against_a_plain_one(rows):
     assert fitted < plain
 
 
+def test_model_learns_from_all_training_texts(spark):
+    """Long texts too: weights come from every decision of every training text, less its own sight; so do classes and counts."""
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("abcdefgh"), r.integers(1, 8))) for _ in range(60)]
+    texts = [" ".join(r.choice(words, n)) for n in (6000, 5500, 300, 40, 40, 7, 1)] + ["", "Ab ab\n\nab"]
+    ids = range(len(texts))
+    counted = [zlib.crc32(str(i).encode()) % 5 != 1 for i in ids]
+    assert 0 < sum(counted) < len(texts) and all(len(t) > 20_000 for t in texts[:2])
+    train = [t.lower().encode() for t, k in zip(texts, counted, strict=True) if k]
+    data, offsets = np.frombuffer(b"".join(train), np.uint8), np.append(0, np.cumsum([len(t) for t in train]))
+    sym, _ = lm.symbols(data, offsets)
+    before = np.append(0, np.where(lm.ENDS[sym[:-1]], 0, sym[:-1] + 1))
+    code = lm.trees(np.bincount(before * lm.SYMBOLS + sym, minlength=(lm.SYMBOLS + 1) * lm.SYMBOLS))
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(3)
+    counts, frequent = lm.census(docs.where("crc32(cast(doc_id as string)) % 5 <> 1"))
+    assert counts.sum() == len(sym)
+    assert frequent.tolist() == sorted(lm.frequent_units(data, offsets).tolist())
+    seen, every = slow_model(code, frequent, [t.encode() for t in texts], counted)
+    odds = lambda one, zero: float(np.clip(np.rint(math.log((one + lm.PRIOR) / (zero + lm.PRIOR)) * lm.SCALE), -127, 127))
+    made = Counter()
+    for text, k in zip(every, counted, strict=True):
+        for contexts, t, path in text if k else []:
+            for node, bit in path:
+                made[*(odds(seen[x, t, node, 1] - (bit == 1), seen[x, t, node, 0] - (bit == 0)) for x in contexts), bit] += 1
+    x, bit, times = np.array([m[:3] for m in made]), np.array([float(m[3]) for m in made]), np.array([*made.values()])
+    gate = lm.gates(x[:, 1].astype(np.int8), x[:, 2].astype(np.int8))
+    want = slow_bits(lm.learnt(gate, x / lm.SCALE, bit, times), seen, every)
+    got = {r["doc_id"]: r["total_bits"] for r in lm.score(docs).collect()}
+    assert [got[i] for i in ids] == pytest.approx(want, rel=2e-3, abs=0.05)
+    one = np.repeat(np.arange(len(bit)), times)
+    assert lm.learnt(gate[one], x[one] / lm.SCALE, bit[one]).weights == pytest.approx(lm.learnt(gate, x / lm.SCALE, bit, times).weights, abs=1e-4)
+
+
+def test_frequent_units_that_shares_leave_open(spark, monkeypatch):
+    """Units that no task need tell of are added up whole where they could be among the most frequent."""
+    monkeypatch.setattr(lm, "UNIT_SHARE", 1 / 40)
+    parts = [[f"a{k} " * 3 + f"b{k} " for k in range(30)], [f"b{k} " * 3 + f"c{k} " for k in range(30)]]
+    docs = spark.createDataFrame([(t,) for p in parts for t in p], "text string").repartition(2)
+    whole = [t.strip() + " " for p in parts for t in p]
+    data, offsets = np.frombuffer("".join(whole).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in whole]))
+    assert lm._census(docs, lm.UNIT_SHARE)[1] is None
+    assert lm.census(docs)[1].tolist() == sorted(lm.frequent_units(data, offsets).tolist())
+
+
 def test_decisions_are_a_distribution():
     """The chances of all symbols in one context add up to one, whatever the weights and their refinement."""
     r = np.random.default_rng(1)
