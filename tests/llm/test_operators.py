@@ -521,6 +521,34 @@ def test_frequent_units_that_shares_leave_open(spark, monkeypatch):
     assert lm.census(docs)[1].tolist() == sorted(lm.frequent_units(data, offsets).tolist())
 
 
+def test_a_range_is_added_up_in_passes(monkeypatch):
+    """One range may have any number of keys; what it answers doesn't depend on how many are added up at once, its memory does."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    code = lm.trees(r.integers(0, 1000, (lm.SYMBOLS + 1, lm.SYMBOLS)))
+    leaves = r.integers(0, lm.SYMBOLS, 60_000).astype(np.uint64)
+    every = np.unique((r.integers(0, 9000, 60_000).astype(np.uint64) << np.uint64(17)) | leaves)
+    keys = [np.sort(r.choice(every, n, replace=False)) for n in (20_000, 30_000, 1, 0, 30_000)]
+    times = [r.integers(0, 4, len(k)).astype(np.uint32) for k in keys]
+    known, n = lm.summed(np.concatenate(keys), np.concatenate(times).astype(np.int64))
+    odds, loss, start = lm.all_paths(code, known, n, True)
+    at = [lm._text.ragged(start[z := np.searchsorted(known, k)], start[z + 1] - start[z]) for k in keys]
+    peaks = []
+    for most in (1 << 30, 5000, 50):
+        monkeypatch.setattr(lm, "KEYS", most)
+        monkeypatch.setattr(lm, "PATHS", min(most, 1 << 17))
+        tracemalloc.start()
+        got = lm.looked_up(code, keys, times, True)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for (a, b), i in zip(got, at, strict=True):
+            assert lm.loosened(a) == odds[i].tobytes()
+            assert lm.lessened(odds[i], b).tolist() == (odds[i] - loss[i]).tolist()
+    assert peaks[1] < peaks[0] / 2
+    assert lm.looked_up(code, [], [], True) == []
+
+
 def test_decisions_are_a_distribution():
     """The chances of all symbols in one context add up to one, whatever the weights and their refinement."""
     r = np.random.default_rng(1)
