@@ -521,6 +521,22 @@ def test_frequent_units_that_shares_leave_open(spark, monkeypatch):
     assert lm.census(docs)[1].tolist() == sorted(lm.frequent_units(data, offsets).tolist())
 
 
+def test_tasks_tell_of_units_in_packed_rows():
+    """However many units a task has, it tells each range one row."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k * 7 % 5000}" for k in range(j, j + 600)) for j in range(0, 5000, 500)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    (rows,) = lm.told(iter([batch]), 0, 8)
+    assert sorted(rows.column("part").to_pylist()) == sorted(set(rows.column("part").to_pylist())) and rows.num_rows <= 8
+    read = lambda name, dtype: np.concatenate([lm._text.unpack(lm.loosened(x), dtype) for x in rows.column(name).to_pylist()])
+    every = Counter(w for t in texts for w in re.findall(r"[^ ]* |[^ ]*\n", f"{t or ''}\n"))
+    assert sorted(read("d", np.int64).tolist()) == sorted(every.values()) and len(set(read("c", np.uint64).tolist())) == len(every)
+    assert read("b", np.int64).sum() == sum(len(t or "") + 1 for t in texts)
+    (rows,) = lm.told(iter([]), 0, 8)
+    assert rows.num_rows == 0
+
+
 def test_a_range_is_added_up_in_passes(monkeypatch):
     """One range may have any number of keys; what it answers doesn't depend on how many are added up at once, its memory does."""
     import tracemalloc
