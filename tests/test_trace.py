@@ -472,6 +472,13 @@ def test_records(spark):
     assert views["call_stacks"].count() == 4 and views["anomalies"].count() == 2 and views["io_steps"].count() == 1 and views["counter_values"].where("ts IS NOT NULL").count() == 1
 
 
+def test_runs_with_groups_of_no_time(spark):
+    run = lambda *rows: spark.createDataFrame(list(rows), "func string, tid long, calls long, total double, count long, severity double")
+    a, b = run(("f", 1, 2, 0.0, 0, 0.0), ("g", 1, 2, 8.0, 1, 4.0)), run(("f", 1, 4, 5.0, 1, 5.0), ("h", 1, 0, 0.0, 1, 1.0))
+    got = [(r["func"], r["relative_a"], r["frequency_a"], r["relative_b"], r["frequency_b"]) for r in D.between_runs(a, b, ["func", "tid"], "severity").collect()]
+    assert str(got) == str([("f", math.nan, 0.0, 1.0, 25.0), ("g", 0.5, 50.0, None, None), ("h", None, None, math.inf, math.inf)])
+
+
 def test_anomaly_metrics_over_steps(spark):
     e = spark.createDataFrame([(0, 0, s, "f", en, en + 30, 30.0, x, lab, sc) for s, en, x, lab, sc in [(4, 10, 20.0, -1, 7.0), (4, 60, 30.0, -1, 9.0), (5, 95, 1.0, 1, 0.2), (6, 200, 50.0, -1, 8.0)]], "pid long, rid long, step int, func string, entry long, exit long, runtime double, exclusive double, label int, score double")
     r = S.rolled_metrics(e, ["pid", "rid", "func"]).first()

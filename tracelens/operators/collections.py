@@ -141,16 +141,25 @@ def counter_ranking(stats: DataFrame) -> DataFrame:
     return stats.select("pid", "counter", F.col("stats.count").alias("count"), F.col("stats.minimum").alias("min"), F.col("stats.maximum").alias("max"), F.col("stats.mean").alias("avg"))
 
 
+def _quotient(x: str, y: str) -> Column:
+    """x / y as doubles have it: by zero NaN or infinite, where Spark's division is an error."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, -float("inf")).when(a == 0, float("nan"))
+    by_zero = F.when(F.isnan(a), float("nan")).otherwise(by_zero)
+    return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
+
+
 def between_runs(a: DataFrame, b: DataFrame, keys_: list[str], severity: str, n: int = 10) -> DataFrame:
     """Functions of two runs side by side, by the greater severity of both.
 
-    With columns count, calls and total also the share of calls that are anomalies (percent) and of time that is spent in them.
+    With columns count, calls and total also the share of calls that are anomalies (percent) and of time that is spent in them;
+    shares of nothing are what they are for doubles (NaN or infinite), not errors.
     """
     left, right = (d.select(*keys_, *(F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in keys_)) for d, s in ((a, "a"), (b, "b")))
     both = left.join(right, keys_, "full_outer").withColumn("greatest", F.greatest(f"{severity}_a", f"{severity}_b"))
     if {"count", "calls", "total"} <= set(a.columns):
         for s in "ab":
-            both = both.withColumn(f"frequency_{s}", F.col(f"count_{s}") / F.col(f"calls_{s}") * 100).withColumn(f"relative_{s}", F.col(f"{severity}_{s}") / F.col(f"total_{s}"))
+            both = both.withColumn(f"frequency_{s}", _quotient(f"count_{s}", f"calls_{s}") * 100).withColumn(f"relative_{s}", _quotient(f"{severity}_{s}", f"total_{s}"))
     return both.orderBy(F.desc_nulls_last("greatest"), *keys_).limit(n)
 
 
