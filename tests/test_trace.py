@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -379,6 +380,15 @@ def test_what_state_stays(spark):
     assert (r["n_purged"], r["n_kept_protected"], r["n_kept_incomplete"], r["n_kept_window"], r["n_kept_unlabelled"]) == (3, 2, 1, 1, 1)
 
 
+def test_what_state_stays_in_a_long_thread(spark):
+    """Time in proportion to the thread: frames that are read anew for each call took minutes."""
+    calls = spark.range(100_000).selectExpr("0L AS pid", "0L AS rid", "0L AS tid", "CAST(id * 2 AS INT) AS seq", "id * 10 AS entry", "id * 10 + 5 AS exit", "CAST(id * 2 + 1 AS INT) AS exit_seq", "CAST(id % 1000 <> 0 AS INT) AS label")
+    began = time.time()
+    r = C.retention_report(C.retention(calls, 4)).first()
+    assert time.time() - began < 30
+    assert (r["n_purged"], r["n_kept_protected"], r["n_kept_window"], r["n_kept_unlabelled"]) == (99_896, 0, 4, 100)
+
+
 def test_call_lookup(spark):
     calls = spark.createDataFrame([(0, 0, 1, 4, 0)], "pid long, rid long, tid long, seq int, exit long")
     more = C.registered(calls, calls.withColumn("seq", F.lit(5)))
