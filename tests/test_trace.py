@@ -304,6 +304,32 @@ def test_calls_against_a_plain_stack(spark, faults, rows):
     assert all(nested[t] == (t not in {e[0] for e in errors}) for t in nested)
 
 
+@pytest.mark.parametrize("parts", [5, 60])
+@pytest.mark.parametrize("faults", [False, True])
+def test_a_thread_in_many_ranges(spark, faults, parts):
+    """Threads are dealt over tasks, and calls are those of one pass; every thread was in one task."""
+    events = random_events(29, 4, 400, faults) + [(7, "ENTRY", i % 3, 9 * i, i) for i in range(60)] + [(7, "EXIT", (59 - i) % 3, 1000 + i, 60 + i) for i in range(50)]
+    df = spark.createDataFrame([(0, t % 2, t, k, f"f{f}", ts, s) for t, k, f, ts, s in events], "pid long, rid long, tid long, kind string, fid string, ts long, seq int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows, _ = C._paired(df, False)
+        assert rows.select("part").distinct().count() > parts // 2
+        out = C.executions_strict(df, stack=True).collect()
+        nested = {r["tid"]: r["nested"] for r in C.nests(df).collect()}
+        plain = C.executions(df).drop("stack").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    calls, errors = slow_calls([(t, k, f"f{f}", ts, s) for t, k, f, ts, s in events])
+    figures = lambda r: (r["fid"], r["entry"], r["exit"], r["parent"], r["n_children"], r["exclusive"], r["depth"])
+    assert {(r["tid"], r["seq"]): (*figures(r), r["stack"]) for r in out if not r["error"]} == calls and len(out) == len(calls) + len(errors)
+    assert {(r["tid"], r["seq"]): figures(r) for r in plain} == {k: v[:7] for k, v in calls.items()}
+    assert sorted((r["tid"], r["seq"], r["error"]) for r in out if r["error"]) == errors
+    assert nested == {t: t not in {e[0] for e in errors} for t in (0, 1, 2, 3, 7)}
+
+
 def test_stacks_of_stored_calls(spark):
     events = random_events(5, 2, 300, False) + [(9, "ENTRY", i % 3, i, i) for i in range(150)]
     df = spark.createDataFrame([(0, 0, t, k, f"f{f}", ts, s) for t, k, f, ts, s in events], "pid long, rid long, tid long, kind string, fid string, ts long, seq int")
