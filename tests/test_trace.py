@@ -338,6 +338,38 @@ def test_stacks_of_stored_calls(spark):
     assert {(r["tid"], r["seq"]): r["stack"] for r in C.stacks(c.drop("stack")).collect()} == want and max(map(len, want.values())) == 150
 
 
+@pytest.mark.parametrize("rows", [3, 10_000])
+def test_stacks_of_calls_in_many_ranges(spark, rows):
+    """Paths across ranges, of parents that aren't there, that come later or that lie far back; a range's paths came from joins of all calls."""
+    r = random.Random(8)
+    parent = {i: i - 1 if i < 40 else r.choice([None, i - 1, i - 2, r.randrange(i), 5000]) for i in range(300)} | {300: 301, 301: 7}
+    path = lambda i: [f"f{i % 7}", *(path(parent[i]) if parent[i] in parent else [])]
+    calls = spark.createDataFrame([(0, 0, t, i, f"f{i % 7}", p, i * 5) for t in (1, 2) for i, p in parent.items()], "pid long, rid long, tid long, seq int, fid string, parent int, entry long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = {(r["tid"], r["seq"]): (r["entry"], r["stack"]) for r in C.stacks(calls, ("entry",)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(t, i): (i * 5, path(i)) for t in (1, 2) for i in parent}
+
+
+@pytest.mark.parametrize("rows", [3, 10, 40, 10**6])
+def test_neighbours_across_blocks(spark, rows):
+    """Long threads are cut, and windows are those of whole threads; every thread was in one task."""
+    r = random.Random(rows)
+    seqs = {t: sorted(r.sample(range(1000), n)) for t, n in ((0, 120), (1, 37), (2, 2))}
+    calls = spark.createDataFrame([(0, 0, t, s, 1, 3 * s, 3 * s + 1) for t, own in seqs.items() for s in own], "pid long, rid long, tid long, seq int, fid long, entry long, exit long")
+    blocks = C._blocks(calls, rows)
+    assert (blocks.groupBy("tid", "__block").count().agg(F.max("count")).first()[0] <= 2 * rows + 1) if blocks else rows == 10**6
+    got = {(r["tid"], r["seq"]): [w["seq"] for w in r["window"]] for r in C.neighbours(calls, 4, rows).collect()}
+    assert got == {(t, s): own[max(0, i - 4) : i + 5] for t, own in seqs.items() for i, s in enumerate(own)}
+
+
 def slow_merge(func, comm, counters):
     """At one time: entries, then messages, then counters before the first exit; with no exit after all entries."""
     out, f, m, c = [], sorted(func, key=lambda e: (e[1], e[2])), sorted(comm, key=lambda e: (e[1], e[2])), sorted(counters, key=lambda e: (e[1], e[2]))
