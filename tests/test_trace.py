@@ -457,6 +457,37 @@ def test_call_lookup(spark):
         C.call(calls, 0, 0, 1, 9)
 
 
+def test_points_of_wanted_calls(spark):
+    """Points near wanted calls are attached as all are, with columns of the call, in one shuffle of points."""
+    r = random.Random(3)
+    calls = [(0, 0, t, i, 40 * i, 40 * i + r.choice((5, 90, 400)), f"f{i}") for t in range(2) for i in range(50)]
+    calls = spark.createDataFrame(calls, "pid long, rid long, tid long, seq int, entry long, exit long, fid string")
+    points = spark.createDataFrame([(0, 0, i % 2, r.randrange(2100)) for i in range(300)], "pid long, rid long, tid long, ts long")
+    rows = lambda df: Counter(tuple(r) for r in df.select("tid", "ts", "call_seq", "fid").collect())
+    whole = rows(C.attached(points, calls, 100, ("fid",)))
+    assert all((seq is None) == (fid is None) and fid in (None, f"f{seq}") for _, _, seq, fid in whole) and sum(whole.values()) == 300
+    near = rows(C.attached(points, calls, 100, ("fid",), calls.where("seq % 10 = 3")))
+    assert near <= whole and all(near[k] == n for k, n in whole.items() if k[2] is not None and k[2] % 10 == 3) and sum(near.values()) < 300
+
+
+def test_merge_shuffles_rows_once(spark):
+    e = spark.range(9).selectExpr("id % 2 AS pid", "id % 3 AS rid", "id AS tid", "id AS ts", "id AS idx", "1 AS fid", "'EXIT' AS kind", "1 AS tag", "1 AS partner", "1 AS bytes", "1 AS counter_id", "1 AS value")
+    plan = C.merged(e, e, e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_members_of_records(spark):
+    """Windows look at the calls around outliers only, and find the same."""
+    r = random.Random(12)
+    rows = [(0, 0, t, i, "f", 10 * i, 10 * i + 9, -1 if r.random() < 0.1 else 1, None) for t in range(3) for i in range(120)]
+    e = spark.createDataFrame(rows, "pid long, rid long, tid long, seq int, fid string, entry long, exit long, label int, parent int")
+    m = spark.createDataFrame([], "pid long, rid long, tid long, ts long, kind string, partner long, tag long, bytes long, call_seq int")
+    bad = {(x[2], x[3]) for x in rows if x[7] == -1}
+    got = {(x["tid"], x["seq"]): [w["seq"] for w in x["exec_window"]] for x in P.windows(e, m, 3).collect()}
+    assert got == {(t, i): list(range(max(0, i - 3), min(120, i + 4))) for t, i in bad}
+    assert {(x["tid"], x["seq"]) for x in P.members(e, 3).collect()} == {(t, j) for (t, _), w in got.items() for j in w if (t, j) in {(x[2], x[3]) for x in rows}} & {(t, j) for t, i in bad for j in range(i - 3, i + 4)}
+
+
 def test_correlations(spark):
     pairs = spark.createDataFrame([(0, 0, t, s, v) for t, s, v in [(0, 1, 600), (0, 2, 700), (5, 1, 600), (5, 2, 700), (0, 3, 800)]] + [(0, 1, 0, 1, 800)], "pid long, rid long, tid long, seq long, value long")
     assert {(r["value"], tuple(r["a"]), tuple(r["b"])) for r in C.correlated(pairs).collect()} == {(600, (0, 1), (5, 1)), (700, (0, 2), (5, 2))}
